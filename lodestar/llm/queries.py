@@ -4,25 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from .near_duplicates import near_duplicates
+from .packing import pack
+from .quality import BOILERPLATE, clean_lines
+from .secrets import find_secrets
 from .shared import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op10_secrets": op10_secrets,
 }
 
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
-    ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
   FROM words
 ), grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
 classes AS (SELECT list_sort(s) AS k, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY 1),
@@ -45,4 +65,38 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least.c, s.doc_id) AS
 FROM sets s LEFT JOIN classes c ON len(s.s) > 0 AND list_sort(s.s) = c.k LEFT JOIN least ON least.x = c.rep
 """
 
-ORACLE_SQL = {"op7_near_duplicates": OP7_SQL}
+OP2_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY r
+), lines AS (
+  SELECT r, l, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM texts)
+), judged AS (
+  SELECT r, l, len(w) AS n,
+    length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) >= 0.1::DOUBLE * length(l)
+    OR len(list_filter(w, lambda x: x IN ('|', '»', '›', '•', '·', '/', '::', '>'))) >= 0.25::DOUBLE * len(w)
+    OR len(list_filter(w, lambda x: x LIKE '%!!')) >= 0.5::DOUBLE * len(w)
+    OR len(w) <= 40 AND (regexp_matches(l, '@BOILERPLATE@') OR len(w) >= 4 AND NOT regexp_matches(l, '[.!?…。！？:;"''”’»)\]][\x20\x09-\x0D]*\z')) AS fails
+  FROM lines WHERE len(w) > 0
+), by_doc AS (
+  SELECT r, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (fails) AS removed, coalesce(sum(n) FILTER (NOT fails), 0) AS left_words
+  FROM judged GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed,
+  NOT (len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w)) AND coalesce(left_words, 0) >= 0.5::DOUBLE * len(w) AS kept,
+  coalesce(removed, 0)::BIGINT AS n_lines_removed, coalesce(left_words, 0)::BIGINT AS n_words_kept
+FROM words LEFT JOIN covered c USING (r) LEFT JOIN by_doc USING (r)
+""".replace("@BOILERPLATE@", BOILERPLATE)
+
+ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op7_near_duplicates": OP7_SQL}
