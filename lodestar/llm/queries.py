@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from .html_text import main_text
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import BOILERPLATE, clean_lines
@@ -21,6 +22,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
 }
 
