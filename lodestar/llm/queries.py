@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .html_text import main_text
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -14,6 +15,18 @@ from .secrets import find_secrets
 from .shared import table
 
 
+def held_out(column: str, parts: int, which: int) -> Column:
+    """Whether a row is kept from learning: by the CRC-32 of its id as text. Rows without an id are."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(True))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.train(docs, labels, ~held_out("id", 3, 1)))
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_toxic_sentences"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -35,6 +48,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
