@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .decontaminate import find_passages
 from .html_text import main_text
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -35,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
 }
