@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import language_model, toxicity
 from .decontaminate import find_passages
 from .html_text import main_text
 from .near_duplicates import near_duplicates
@@ -32,6 +32,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model.score(docs, language_model.train(docs, ~held_out("doc_id", 7, 2)))
+    return out.withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -55,6 +61,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op5_language_model": op5_language_model,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontamination": op8_decontamination,

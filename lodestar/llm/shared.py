@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import mmap
+import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +55,52 @@ def text_or_empty(col: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from one task to the next: a cache, never a result."""
+    held = sys.modules.setdefault("lodestar_worker_state", types.ModuleType("lodestar_worker_state")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def local_path(path: str) -> str | None:
+    """The path on a mounted file system, None for any other store."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return path if path.startswith("/") else None
+
+
+def put_file(path: str, data: bytes) -> None:
+    """Write a file from a worker; a task that runs again puts the same file anew."""
+    local = local_path(path)
+    if local is None:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner.rsplit("/", 1)[0])
+        with store.open_output_stream(inner) as out:
+            out.write(data)
+        return
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    part = f"{local}.{uuid.uuid4().hex}"
+    with open(part, "wb") as out:
+        out.write(data)
+    os.replace(part, local)
+
+
+def map_file(path: str) -> mmap.mmap | bytes:
+    """A file's bytes, memory-mapped. A file of a store that isn't mounted is first copied to a nameless local one."""
+    local = local_path(path)
+    if local is not None:
+        with open(local, "rb") as file:
+            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with tempfile.TemporaryFile() as file, store.open_input_stream(inner) as source:
+        while part := source.read(1 << 24):
+            file.write(part)
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
