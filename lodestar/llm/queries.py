@@ -11,6 +11,7 @@ from .decontaminate import find_passages
 from .html_text import main_text
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .pii import find_personal_data
 from .quality import BOILERPLATE, clean_lines
 from .secrets import find_secrets
 from .shared import table
@@ -32,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents")).drop("sanitised")
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = language_model.score(docs, language_model.train(docs, ~held_out("doc_id", 7, 2)))
@@ -61,6 +66,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op4_personal_data": op4_personal_data,
     "op5_language_model": op5_language_model,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
