@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -15,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import text_or_empty, worker_state
 
 CAPACITY = 4096
 #: Remainders packed together; more than these are not held by a worker.
 WINDOW = 16_384
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_200_000
+#: Words encoded as one text.
+LINE_WORDS = 500
 BATCH_WORDS = 200_000
 
 
@@ -46,7 +49,8 @@ class WordIds(dict):
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode_letters(self, words: list[str]) -> list[bytes]:
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        lines = [" ".join(words[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)]
+        ids = np.frombuffer(b"".join(self.encode(lines)), "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             return self.encode(words)
@@ -63,32 +67,41 @@ class WordIds(dict):
             low = text.lower()
             if low.isalpha():
                 text = low if text.isascii() else text
-                letters[text] = b""
+                if text not in letters and text.encode() not in self:
+                    letters[text] = b""
                 split.append((w, text, w[len(core) :].decode()))
             else:
                 odd.append(w)
         if letters:
             letters = dict(zip(letters, self.encode_letters(list(letters)), strict=True))
+            self.update((text.encode(), ids) for text, ids in letters.items())
         tails = {t: b"" for _, _, t in split}
         tails = dict(zip(tails, self.encode(list(tails)), strict=True))
         for w, text, tail in split:
-            self[w] = letters[text] + tails[tail]
+            self[w] = self[text.encode()] + tails[tail]
         self.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd]), strict=True))
 
 
-def fill(pool: dict[int, int], capacity: int) -> dict[int, int]:
+def words_of(text: str) -> list[bytes]:
+    """Words at white space. The tokenizer ignores case, but in the names of special tokens."""
+    data = text.encode("utf-8", "replace")
+    return (data if b"<|" in data else data.lower()).split()
+
+
+def fill(pool: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:
     """The multiset of lengths from pool (length -> count) whose sum is closest to capacity from below.
 
-    The longest length takes part. The rest is a bounded subset sum over a bitset of reachable
+    lengths: those of pool, ascending. The longest length takes part. The rest is a bounded subset sum over a bitset of reachable
     sums, one step for each length and binary part of its count; it ends where the capacity is
     reached. The steps kept are walked back for the counts.
     """
-    longest = max(pool)
+    longest = lengths[-1]
     room = capacity - longest
     taken = defaultdict(int, {longest: 1})
     mask, reach = (1 << (room + 1)) - 1, 1
     steps = []
-    for length in sorted((x for x in pool if x <= room), reverse=True):
+    for i in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[i]
         count = min(pool[length] - (length == longest), room // length)
         part = 1
         while count > 0 and not reach >> room & 1:
@@ -113,14 +126,15 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     for i, n in enumerate(lengths):
         where[n].append(i)
     pool = {n: len(x) for n, x in where.items()}
+    left = sorted(pool)
     bins = []
     while pool:
         bin_ = []
-        for n, count in fill(pool, capacity).items():
+        for n, count in fill(pool, left, capacity).items():
             bin_ += [where[n].pop() for _ in range(count)]
             pool[n] -= count
             if not pool[n]:
-                del pool[n]
+                del pool[n], left[bisect_left(left, n)]
         bins.append(bin_)
     return bins
 
@@ -135,7 +149,7 @@ SCHEMA = pa.schema(
 
 def packer(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(path)
+        cache = worker_state(f"word ids of {path}", lambda: WordIds(path))
         end = np.asarray([end_id], "<u4").tobytes()
         base, made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0
         rest: list[tuple] = []
@@ -161,7 +175,7 @@ def packer(path: str, end_id: int, capacity: int, with_ids: bool):
         for batch in batches:
             rows = []
             for lo, hi in chunks(batch.column(1)):
-                split = [(x.as_py() or "").encode("utf-8", "replace").split() for x in batch.column(1)[lo:hi]]
+                split = [words_of(x.as_py() or "") for x in batch.column(1)[lo:hi]]
                 cache.learn([w for words in split for w in words])
                 for i, words in zip(batch.column(0)[lo:hi], split, strict=True):
                     data = b"".join(map(cache.__getitem__, words)) + end
