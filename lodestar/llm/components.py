@@ -5,24 +5,57 @@ All state is in DataFrames; the driver sees counts only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Links that one task solves at most, in some 100 MB. More are contracted by joins.
+MOST_IN_TASK = 1_000_000
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """links (a, b) -> (id, label): the smallest id reachable, for every id that has a link.
 
-    Each round gives every node its smallest neighbour as parent, follows parents twice and
-    contracts the edges, so stars end in one round and chains in a logarithmic number. Null ends
-    and loops are ignored; an empty table gives an empty table. Minima are pre-aggregated, so a
-    hub with any number of links costs one row per map task.
+    Null ends and loops are ignored; an empty table gives an empty table. A link table of checked
+    size is solved by one task, a larger one by rounds of joins.
+    """
+    links = links.where("a <> b").select("a", "b")
+    if links.limit(most_in_task + 1).count() > most_in_task:
+        return contracted(links)
+    return cut(links.coalesce(1).mapInArrow(solve, "id long, label long"), "labels")
+
+
+def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if not held:
+        return
+    ids, ends = np.unique(np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)]), return_inverse=True)
+    one, two = np.split(ends, 2)
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[one], label[two])
+        before = label.copy()
+        np.minimum.at(label, label[one], low)
+        np.minimum.at(label, label[two], low)
+        while (label != (up := label[label])).any():
+            label = up
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], ["id", "label"])
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Each round gives every node its smallest neighbour as parent, follows parents twice and
+    contracts the edges, so stars end in one round and chains in a logarithmic number. Minima are
+    pre-aggregated: a hub with any number of links costs one row for each map task.
     """
     edges = cut(
-        links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
+        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
     assigned = None
     while not edges.isEmpty():
@@ -57,56 +90,74 @@ def components(links: DataFrame) -> DataFrame:
 def linked(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    join_filter: Callable[[], F.Column] | None = None,
-    attributes: DataFrame | None = None,
-    most_rounds: int = 6,
+    attributes: DataFrame,
+    join_filter: Callable[[], Column],
+    screen: Callable[[DataFrame], DataFrame] | None = None,
+    alive: Callable[[], Column] | None = None,
+    stars: int = 2,
+    most_rounds: int = 8,
 ) -> DataFrame:
     """Components of all verified links between members of a bucket, without emitting a bucket's pairs.
 
     members (key, id): distinct, at least two ids to a key. verify: pairs (a, b) -> the linked ones.
+    attributes: (id, ...), one row an id. join_filter: a condition on them, prefixed l_ and r_, that
+    every link meets.
     Star rounds compare each bucket's pivot with the members outside the pivot's component, which
-    merges a group of near copies in time linear in its size. They end when the pairs left between
-    different components are few against the members, or a round finds nothing. All pairs left are
-    then verified, so the result equals that of verifying every pair.
-    join_filter: a condition on the columns of attributes (id, ...), prefixed l_ and r_, that every
-    link meets; the last step applies it inside its join.
+    merges a group of near copies in time linear in its size. Then, in each bucket, only the
+    members outside its largest component matter: each link still unknown has one of them.
+    screen (nodes (id, label)) gives attributes that tell more; alive is a condition on n, shared
+    and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
+    pairs left are few against the members, all are verified, so the result equals that of
+    verifying every pair; until then star rounds go on.
     """
-    labels, links, stale = None, None, 0
+    labels, links, stale, screened = None, None, 0, False
     size = members.count()
-    for turn in range(most_rounds + 1):
+    for turn in range(most_rounds):
         at = members.withColumn("label", F.col("id")) if labels is None else labelled(members, labels)
-        spread = at.groupBy("key").agg(
-            F.min("label").alias("lo"),
-            F.max("label").alias("hi"),
-            F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("pivot"),
-        )
-        spread = spread.where("lo < hi").select("key", F.col("pivot.id").alias("a"), F.col("pivot.label").alias("la"))
-        if turn:
-            at = cut(at.join(spread.select("key"), "key", "left_semi"), "unresolved")
-            groups = at.groupBy("key", "label").agg(F.count("*").alias("n"))
-            rest = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            cross = rest.select(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-            if cross == 0:
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        if turn < stars:
+            pivots = at.groupBy("key").agg(
+                F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "label"), order).alias("pivot")
+            )
+            pivots = pivots.where("lo < hi").select("key", F.col("pivot.id").alias("a"), F.col("pivot.label").alias("la"))
+            pairs = at.join(pivots, "key").where("label <> la")
+        else:
+            groups = at.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("id", order).alias("a"))
+            tops = groups.groupBy("key").agg(
+                F.count("*").alias("groups"), F.max_by(F.struct("label", "a"), F.struct("n", "label")).alias("top")
+            )
+            tops = tops.where("groups > 1").select("key", F.col("top.label").alias("la"), F.col("top.a").alias("a"))
+            at = cut(at.join(tops, "key"), "unresolved")
+            if screen is not None:
+                if not screened:
+                    attributes, screened = cut(screen(at.select("id", "label").distinct()), "screened"), True
+                facts = at.join(attributes.select("id", "n", "shared"), "id")
+                least = facts.groupBy("key").agg(F.min("n").alias("n_lo"))
+                facts = facts.join(least, "key").where((F.col("label") == F.col("la")) | alive())
+                at = cut(facts.select(*at.columns), "unresolved")
+            counts = at.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("la")).alias("out"))
+            left = counts.select(F.sum(F.col("n") * F.col("out"))).first()[0] or 0
+            if left == 0:
                 return labels
-            if cross <= 2 * size or stale >= 2 or turn == most_rounds:
+            if left <= 4 * size or stale >= 2 or turn == most_rounds - 1:
                 break
-        pairs = at.join(spread, "key").where("label <> la").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = cut(verify(pairs.distinct()), "links")
-        if turn and found.isEmpty():
+            pairs = at.where("label <> la")
+        found = cut(verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()), "links")
+        if labels is not None and found.isEmpty():
             stale += 1
             continue
         stale = 0
         links = found if links is None else links.union(found)
         labels = components(links)
-    one = at.select("key", *(F.col(c).alias(f"l_{c}") for c in ("id", "label")))
-    two = at.select("key", *(F.col(c).alias(f"r_{c}") for c in ("id", "label")))
-    when = (one["key"] == two["key"]) & (F.col("l_label") < F.col("r_label"))
-    if attributes is not None and join_filter is not None:
-        one = one.join(attributes.select(*(F.col(c).alias(f"l_{c}") for c in attributes.columns)), "l_id")
-        two = two.join(attributes.select(*(F.col(c).alias(f"r_{c}") for c in attributes.columns)), "r_id")
-        when = (one["key"] == two["key"]) & (F.col("l_label") < F.col("r_label")) & join_filter()
-    pairs = one.join(two, when).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
-    found = cut(verify(pairs.distinct()), "links")
+    busy = at.where("label <> la").select("key").distinct()
+    at = at.join(busy, "key", "left_semi")
+    out = at.where("label <> la").select("key", *(F.col(c).alias(f"l_{c}") for c in ("id", "label")))
+    out = out.join(attributes.select(*(F.col(c).alias(f"l_{c}") for c in attributes.columns)), "l_id")
+    every = at.select("key", F.col("label").alias("r_label"), F.col("id").alias("r_id"), (F.col("label") == F.col("la")).alias("r_top"))
+    every = every.join(attributes.select(*(F.col(c).alias(f"r_{c}") for c in attributes.columns)), "r_id")
+    once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
+    pairs = out.join(every, (out["key"] == every["key"]) & once & join_filter())
+    found = cut(verify(pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()), "links")
     return labels if found.isEmpty() else components(links.union(found))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import linked
-from .shared import cut, text_or_empty
+from .shared import cut, small, text_or_empty
 
 #: MinHash samples of a set; all of them enter its odd sketch of SKETCH_WORDS * 64 bits.
 SAMPLES = 128
@@ -155,6 +155,21 @@ def confirm(width: int, num: int, den: int):
     return run
 
 
+def exploded(width: int):
+    """mapInArrow function over (id, label, text): a row (g, id, label) for each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for i, label, text in zip(*batch.columns, strict=True):
+                s = shingles(text.as_py() or "", width, cache)
+                if set_key(s) == i.as_py():
+                    columns = [s.view(np.int64), np.full(len(s), i.as_py()), np.full(len(s), label.as_py())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["g", "id", "label"])
+
+    return run
+
+
 def most_differing(threshold: float) -> int:
     """The XOR population count that a pair at the threshold exceeds with a chance of about 1e-7.
 
@@ -200,22 +215,37 @@ def near_duplicates(
     spread = classes.select(F.explode("bands").alias("key"), F.col("cls").alias("id"))
     full = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = cut(spread.join(full, "key").distinct(), "band-members")
-    attributes = classes.select(F.col("cls").alias("id"), "n", "sketch", "doc")
+    attributes = classes.select(F.col("cls").alias("id"), "n", "n", "sketch", "doc").toDF("id", "n", "shared", "sketch", "doc")
+    # the texts that verification may ask for, read and dealt out once
+    wanted = members.select("id").distinct().join(attributes, "id").select("doc").distinct()
+    texts = cut(source.withColumnRenamed("id", "doc").join(small(wanted), "doc", "left_semi"), "candidate-texts")
+
+    def enough(both: Column, left: Column, right: Column) -> Column:
+        return den * both >= num * (left + right - both)
 
     def close() -> Column:
-        sizes = (den * F.least("l_n", "r_n") >= num * F.greatest("l_n", "r_n"))
+        sizes = enough(F.least("l_n", "r_n", "l_shared", "r_shared"), F.col("l_n"), F.col("r_n"))
         return sizes & (sketch_differs("l_sketch", "r_sketch") <= most_differing(threshold))
 
+    def alive() -> Column:
+        return enough(F.col("shared"), F.col("n"), F.greatest("n_lo", F.floor(F.col("n") * num / den)))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        left = attributes.select(F.col("id").alias("a"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"), F.col("doc").alias("l_doc"))
-        right = attributes.select(F.col("id").alias("b"), F.col("n").alias("r_n"), F.col("sketch").alias("r_sketch"), F.col("doc").alias("r_doc"))
-        likely = cut(pairs.join(left, "a").join(right, "b").where(close()).select("a", "b", "l_doc", "r_doc"), "likely-pairs")
-        one = source.select(F.col("id").alias("l_doc"), F.col("text").alias("l_text"))
-        two = source.select(F.col("id").alias("r_doc"), F.col("text").alias("r_text"))
-        both = likely.join(one, "l_doc").join(two, "r_doc").select("a", "b", "l_text", "r_text")
-        return both.mapInArrow(confirm(width, num, den), "a long, b long").distinct()
-
-    labels = linked(members, verify, close, attributes)
+        sides = [attributes.select(*(F.col(c).alias(f"{p}_{c}") for c in attributes.columns)) for p in "lr"]
+        likely = pairs.join(sides[0], F.col("a") == F.col("l_id")).join(sides[1], F.col("b") == F.col("r_id")).where(close())
+        one, two = (texts.select(F.col("doc").alias(f"{p}_doc"), F.col("text").alias(f"{p}_text")) for p in "lr")
+        both = likely.select("a", "b", "l_doc", "r_doc").join(one, "l_doc").join(two, "r_doc")
+        return both.select("a", "b", "l_text", "r_text").mapInArrow(confirm(width, num, den), "a long, b long").distinct()
+
+    def screen(nodes: DataFrame) -> DataFrame:
+        """shared: how many shingles of a set occur under other labels too. A link to one of these has no more in common."""
+        known = nodes.join(attributes.drop("shared"), "id").join(texts, "doc").select("id", "label", "text")
+        grams = cut(known.mapInArrow(exploded(width), "g long, id long, label long"), "shingles")
+        several = grams.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
+        own = grams.select("g", "id").join(several, "g").distinct().groupBy("id").agg(F.count("*").alias("shared"))
+        return nodes.select("id").join(attributes.drop("shared"), "id").join(own, "id", "left").fillna(0, ["shared"])
+
+    labels = linked(members, verify, attributes, close, screen, alive)
     of_class = classes.select("cls", "doc").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "cls"))
     least = of_class.groupBy("label").agg(F.min("doc").alias("least"))
