@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import small, text_or_empty
 
 Q = 8
 #: Edits a passage may have, as a share of the item's characters.
@@ -226,4 +226,4 @@ def find_passages(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark. Rows with a null id or text stay."""
     found = find_passages(docs, benchmark, id_col, text_col, **names)
-    return docs.join(found.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(found.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)

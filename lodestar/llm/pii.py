@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, text_or_empty
+from .shared import cut, small, text_or_empty
 
 #: Kinds of spans in their order. The last two are terms.
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
@@ -30,8 +30,6 @@ LEAST_LINES, GENERALISE, REMOVE = 2, 0.85, 0.95
 LEAST_LETTERS = 3
 TRIM = ".,;:!?()[]{}\"'<>|*#$%&=/\\-_+~`"
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-#: Terms that a join sends to all workers at most; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 BLOCK = 256
 
 
@@ -156,10 +154,8 @@ def disclosing_terms(source: DataFrame, known: DataFrame) -> DataFrame:
     of_entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_LINES)
     pairs = near.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut(pairs.where(F.col("n_et") >= LEAST_LINES).join(of_entity, "entity"), "pairs")
-    terms = cut(pairs.select("term").distinct(), "terms")
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     words = lines(source).select("line", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
-    words = words.select("line", F.btrim("word", F.lit(TRIM)).alias("term")).join(wanted, "term")
+    words = words.select("line", F.btrim("word", F.lit(TRIM)).alias("term")).join(small(pairs.select("term").distinct()), "term")
     of_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     n = lines(source).select("line").distinct().count()
     information = F.log2(F.lit(float(n)) / F.col("n_e"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import language_model, toxicity
 from .decontaminate import find_passages
 from .html_text import main_text
+from .line_dedup import dedup_lines
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
@@ -33,6 +34,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents")).drop("sanitised")
 
@@ -66,6 +71,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_language_model": op5_language_model,
     "op6_packing": op6_packing,
