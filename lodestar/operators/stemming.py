@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: The stop words of the analyser.
 STOP_WORDS = frozenset(
@@ -90,6 +91,6 @@ def tokens(text: str | None) -> list[str]:
     return [stem(w) for w in plain if w and w not in STOP_WORDS]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def english(texts: pd.Series) -> pd.Series:
     return texts.map(tokens)
