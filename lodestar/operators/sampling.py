@@ -204,10 +204,9 @@ def apply_review(entries: DataFrame, picks: DataFrame, offered: DataFrame) -> Da
     none = F.array().cast("array<string>")
     p, o = F.coalesce("picks", none), F.coalesce("offered", none)
     new = F.filter(p, lambda x: F.array_contains(o, x) & ~F.array_contains(F.col("relevant_chunk_ids"), x))
-    return out.select(
-        *(F.concat("relevant_chunk_ids", new).alias(c) if c == "relevant_chunk_ids" else F.col(c) for c in entries.columns),
-        F.size(new).alias("n_added"), F.filter(p, lambda x: ~F.array_contains(o, x)).alias("rejected"),
-    )
+    out = out.select(*entries.columns, new.alias("_new"), F.filter(p, lambda x: ~F.array_contains(o, x)).alias("rejected"))
+    widened = F.concat("relevant_chunk_ids", "_new").alias("relevant_chunk_ids")
+    return out.select(*(widened if c == "relevant_chunk_ids" else F.col(c) for c in entries.columns), F.size("_new").alias("n_added"), "rejected")
 
 
 def manifest_problems(listed: DataFrame, present: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def submissions(payloads: DataFrame, forms: Iterable[str], first: str, last: str
     recent = F.from_json(payload, schemas.SUBMISSIONS)["filings"]["recent"]
     zipped = F.explode(F.arrays_zip(recent["form"], recent["filingDate"], recent["accessionNumber"], recent["primaryDocument"]))
     rows = payloads.select("company", "cik", zipped.alias("f")).select(
-        "company", "cik", F.col("f.0").alias("filing_type"), F.col("f.1").alias("filing_date"), F.col("f.2").alias("accession_number"), F.col("f.3").alias("primary_document")
+        "company", "cik", F.col("f.form").alias("filing_type"), F.col("f.filingDate").alias("filing_date"), F.col("f.accessionNumber").alias("accession_number"), F.col("f.primaryDocument").alias("primary_document")
     )
     kept = rows.where(F.col("filing_type").isin(list(forms)) & F.col("filing_date").between(first, last))
     bare = F.replace("accession_number", F.lit("-"), F.lit(""))
