@@ -124,6 +124,7 @@ class Model:
     contexts: list[str]
     continuations: list[str]
     bits: int
+    end_bits: int  # of the shards of continuations
     n_words: int  # V
     n_tokens: int  # N
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -246,21 +247,25 @@ def count_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def write_bigrams(folder: str, words: int, bits: int):
-    """Puts a file of bigrams and one of context figures a shard; rows to carry the continuation counts on."""
+def write_bigrams(folder: str, words: int, bits: int, end_bits: int):
+    """Puts a file of bigrams and one of context figures a shard; a task's continuation counts go on together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after = []
         for shard, (keys, counts) in grouped(batches).items():
             put_file(path := f"{folder}/bigrams-{shard}", file_of(keys, counts))
             lo, hi = shard_range(shard, words + 1, bits)
             at = (keys >> np.uint64(32)).astype(np.int64) - lo
             figures = [np.bincount(at, counts, hi - lo), *(np.bincount(at, counts == k, hi - lo) for k in (1, 2)), np.bincount(at, counts >= 3, hi - lo)]
             put_file(f"{folder}/contexts-{shard}", np.stack(figures).astype("<f8").tobytes())
-            after, n = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-            one = {"shard": shard, "path": path, "n": len(keys), "first": str(keys[0]), "counts": count_of_counts(counts)}
-            parts = dealt(after, n, shard_of_word(after, words, bits)).to_pylist()
-            rows = [one | {"to": -1, "data": b""}, *({"to": p["shard"], "data": p["data"]} for p in parts)]
-            yield pa.RecordBatch.from_pylist(rows, schema=BIGRAM_ROWS)
+            after.append(np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True))
+            row = {"shard": shard, "path": path, "n": len(keys), "first": str(keys[0]), "counts": count_of_counts(counts), "to": -1, "data": b""}
+            yield pa.RecordBatch.from_pylist([row], schema=BIGRAM_ROWS)
+        if after:
+            words_, n = merged(after)
+            parts = dealt(words_, n.astype(np.uint64), shard_of_word(words_, words, end_bits)).to_pylist()
+            none = {"shard": -1, "path": "", "n": 0, "first": "", "counts": []}
+            yield pa.RecordBatch.from_pylist([none | {"to": p["shard"], "data": p["data"]} for p in parts], schema=BIGRAM_ROWS)
 
     return run
 
@@ -304,7 +309,8 @@ def train(docs: DataFrame, rows: Column | None = None, text_col: str = "text") -
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, math.ceil(math.log2(4 * parts)))
+    end_bits = math.ceil(math.log2(parts + 1))
+    bits = end_bits + 1
     folder = new_path(spark, "language-model")
     texts = (docs if rows is None else docs.where(rows)).select(text_or_empty(text_col).alias("text"))
 
@@ -318,20 +324,20 @@ def train(docs: DataFrame, rows: Column | None = None, text_col: str = "text") -
     for r in files:
         words.append(Shard(r["path"], r["n"], int(r["first"]), base))
         base += r["n"]
-    model = Model(words, [], [], [], bits, base, sum(r["total"] for r in files))
+    model = Model(words, [], [], [], bits, end_bits, base, sum(r["total"] for r in files))
     if not base:
         return model
     spread = to_shards(texts.mapInArrow(count_bigrams(spark.sparkContext.broadcast(cloudpickle.dumps(model))), "shard int, data binary"))
     schema = "shard int, path string, n long, first string, counts array<long>, to int, data binary"
     written = new_path(spark, "bigram-shards")
-    spread.mapInArrow(write_bigrams(folder, base, bits), schema).write.parquet(written)
+    spread.mapInArrow(write_bigrams(folder, base, bits, end_bits), schema).write.parquet(written)
     written = spark.read.schema(schema).parquet(written)
     files = sorted(written.where("to = -1").select("shard", "path", "n", "first", "counts").collect())
     after = to_shards(written.where("to >= 0").select(F.col("to").alias("shard"), "data"))
-    ends = sorted(after.mapInArrow(write_continuations(folder, base, bits), "shard int, counts array<long>, bigger long").collect())
+    ends = sorted(after.mapInArrow(write_continuations(folder, base, end_bits), "shard int, counts array<long>, bigger long").collect())
     model.bigrams = [Shard(r["path"], r["n"], int(r["first"])) for r in files]
     model.contexts = [f"{folder}/contexts-{r['shard']}" if r else "" for r in by_shard(files, bits)]
-    model.continuations = [f"{folder}/continuations-{r['shard']}" if r else "" for r in by_shard(ends, bits)]
+    model.continuations = [f"{folder}/continuations-{r['shard']}" if r else "" for r in by_shard(ends, end_bits)]
     model.n_bigrams = sum(r["n"] for r in files)
     model.discounts = discounts([sum(r["counts"][k] for r in files) for k in range(4)])
     n = [sum(r["counts"][k] for r in ends) for k in range(4)]
@@ -373,7 +379,7 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.numbers, self.bigrams = model, Numbers(model), Sorted(model.bigrams)
         self.contexts = Dense(model.contexts, model.n_words + 1, model.bits, "<f8", 4)
-        self.after = Dense(model.continuations, model.n_words, model.bits, "<u4", 1)
+        self.after = Dense(model.continuations, model.n_words, model.end_bits, "<u4", 1)
 
     def score(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base log10, model log10) of each text."""
