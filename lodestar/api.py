@@ -60,7 +60,7 @@ class Engine:
         hits = self.search(rest, k)
         passages = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *PASSAGE, "chunk_id"))), lambda x: x.dropFields("rank")).alias("passages"))
         written = answers(rest.join(passages, "query_id", "left"), self.generate)
-        said = written.select("query_id", F.lit("semantic").alias("route"), "answer", F.transform("citations", lambda c: c["chunk_id"]).alias("sources"), "refused")
+        said = written.select("query_id", F.lit("semantic").alias("route"), "answer", F.transform("citations", lambda c: c["chunk_id"].cast("string")).alias("sources"), "refused")
         return exact.unionByName(said)
 
 

@@ -23,7 +23,7 @@ def sign_codes(embedding: str, dims: int, tables: int, bits: int, seed: int = 7)
     return F.array(*keys)
 
 
-def nearest_approximately(queries: DataFrame, corpus: DataFrame, k: int, dims: int, tables: int = 8, bits: int = 4, filters=None) -> DataFrame:
+def nearest_approximately(queries: DataFrame, corpus: DataFrame, k: int, dims: int, tables: int = 24, bits: int = 5, filters=None) -> DataFrame:
     """(query_id, chunk_id, score, rank) like nearest; tables is the knob of recall against work."""
     if tables < 1 or k < 1:
         raise ValueError("tables and k must be positive")

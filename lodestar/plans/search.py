@@ -322,4 +322,4 @@ def bm25_stemmed(spark, d):
 @query()
 def knn_lsh(spark, d):
     v = vectors(spark, d)
-    return lsh.nearest_approximately(v.where("id % 20 = 0"), v, 10, dims=64, tables=8, bits=4)
+    return lsh.nearest_approximately(v.where("id % 20 = 0"), v, 10, dims=64, tables=24, bits=4)
