@@ -57,6 +57,7 @@ class Items:
         self.fold = folding()
         self.ids, self.codes = [], []
         for i, text in items:
+            text = text or ""
             lead = len(text) - len(text.lstrip())
             codes = code_points(text.strip(), self.fold) if lead < len(text) else np.empty(0, np.uint32)
             if len(codes) >= Q:

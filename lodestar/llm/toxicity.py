@@ -129,8 +129,11 @@ def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = tokens(text.as_py())
             bags.append((y.as_py(), np.fromiter(map(cache.__getitem__, words), np.int32, len(words))))
     weights, bias = fit(bags, cache.features)
-    data = np.append(weights, bias).astype("<f4").tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
+    yield pa.RecordBatch.from_arrays([pa.array([packed(weights, bias)], pa.binary())], ["model"])
+
+
+def packed(weights: np.ndarray, bias: float) -> bytes:
+    return np.append(weights, bias).astype("<f4").tobytes()
 
 
 def train(
@@ -150,7 +153,8 @@ def train(
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     sample = source.join(F.broadcast(parts[0].union(parts[1])), "id").dropDuplicates(["id"]).select("y", "text")
-    return bytes(sample.coalesce(1).mapInArrow(fit_batches, "model binary").first()["model"])
+    row = sample.coalesce(1).mapInArrow(fit_batches, "model binary").first()
+    return bytes(row["model"]) if row else packed(*fit([], []))
 
 
 class Weights(dict):
@@ -200,7 +204,7 @@ def scorer(model, threshold: float):
             for text in batch.column(1):
                 text = text.as_py()
                 words = tokens(text)
-                scores.append(noisy_or(sentence_scores(words, weights, bias)) if words else 0.0)
+                scores.append(noisy_or(sentence_scores(words, weights, bias)) if text.strip() else 0.0)
                 spans = []
                 for a, b in sentence_spans(text) if scores[-1] >= threshold else ():
                     p = noisy_or(sentence_scores(tokens(text[a:b]), weights, bias))
