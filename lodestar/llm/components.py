@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Pairs a member that a join may look at, which costs little, as its condition keeps nearly none.
+CHEAP = 200
 #: Links that one task solves at most, in some 100 MB. More are contracted by joins.
 MOST_IN_TASK = 1_000_000
 
@@ -22,10 +24,10 @@ def components(links: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """links (a, b) -> (id, label): the smallest id reachable, for every id that has a link.
 
     Null ends and loops are ignored; an empty table gives an empty table. A link table of checked
-    size is solved by one task, a larger one by rounds of joins.
+    size is solved by one task, a larger one by rounds of joins, as all are if most_in_task is 0.
     """
     links = links.where("a <> b").select("a", "b")
-    if links.limit(most_in_task + 1).count() > most_in_task:
+    if not most_in_task or links.limit(most_in_task + 1).count() > most_in_task:
         return contracted(links)
     return cut(links.coalesce(1).mapInArrow(solve, "id long, label long"), "labels")
 
@@ -96,16 +98,17 @@ def linked(
     alive: Callable[[], Column] | None = None,
     stars: int = 2,
     most_rounds: int = 8,
+    most_in_task: int = MOST_IN_TASK,
 ) -> DataFrame:
     """Components of all verified links between members of a bucket, without emitting a bucket's pairs.
 
     members (key, id): distinct, at least two ids to a key. verify: pairs (a, b) -> the linked ones.
-    attributes: (id, ...), one row an id. join_filter: a condition on them, prefixed l_ and r_, that
-    every link meets.
+    attributes: (id, ...), one row an id. join_filter: a condition on them, prefixed l_ and r_, and
+    on l_key, the bucket, that every link meets in some bucket.
     Star rounds compare each bucket's pivot with the members outside the pivot's component, which
     merges a group of near copies in time linear in its size. Then, in each bucket, only the
     members outside its largest component matter: each link still unknown has one of them.
-    screen (nodes (id, label)) gives attributes that tell more; alive is a condition on n, shared
+    screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
     pairs left are few against the members, all are verified, so the result equals that of
     verifying every pair; until then star rounds go on.
@@ -139,7 +142,7 @@ def linked(
             left = counts.select(F.sum(F.col("n") * F.col("out"))).first()[0] or 0
             if left == 0:
                 return labels
-            if left <= 4 * size or stale >= 2 or turn == most_rounds - 1:
+            if left <= CHEAP * size or stale >= 2 or turn == most_rounds - 1:
                 break
             pairs = at.where("label <> la")
         found = cut(verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()), "links")
@@ -148,17 +151,17 @@ def linked(
             continue
         stale = 0
         links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = components(links, most_in_task)
     busy = at.where("label <> la").select("key").distinct()
     at = at.join(busy, "key", "left_semi")
-    out = at.where("label <> la").select("key", *(F.col(c).alias(f"l_{c}") for c in ("id", "label")))
+    out = at.where("label <> la").select("key", F.col("key").alias("l_key"), *(F.col(c).alias(f"l_{c}") for c in ("id", "label")))
     out = out.join(attributes.select(*(F.col(c).alias(f"l_{c}") for c in attributes.columns)), "l_id")
     every = at.select("key", F.col("label").alias("r_label"), F.col("id").alias("r_id"), (F.col("label") == F.col("la")).alias("r_top"))
     every = every.join(attributes.select(*(F.col(c).alias(f"r_{c}") for c in attributes.columns)), "r_id")
     once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
     pairs = out.join(every, (out["key"] == every["key"]) & once & join_filter())
     found = cut(verify(pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()), "links")
-    return labels if found.isEmpty() else components(links.union(found))
+    return labels if found.isEmpty() else components(links.union(found), most_in_task)
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:

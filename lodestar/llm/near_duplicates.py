@@ -16,8 +16,9 @@ from .components import linked
 from .shared import cut, small, text_or_empty
 
 #: MinHash samples of a set; all of them enter its odd sketch of SKETCH_WORDS * 64 bits.
-SAMPLES = 128
-SKETCH_WORDS = 8
+SAMPLES, SKETCH_WORDS = 128, 8
+#: The same for sets of which a first round left links open, whose pairs must be told apart near the threshold.
+FINE_SAMPLES, FINE_WORDS = 2048, 128
 #: Words of text held at once by a worker, and entries of its word cache.
 CHUNK_WORDS = 400_000
 CACHE_WORDS = 300_000
@@ -75,12 +76,12 @@ def signatures(sets: list[np.ndarray], samples: int) -> np.ndarray:
     return np.stack([np.minimum.reduceat(x * m + a, starts) for m, a in zip(mult, add, strict=True)])
 
 
-def odd_sketch(sig: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each column's samples, in SKETCH_WORDS words."""
-    out = np.zeros((sig.shape[1], SKETCH_WORDS), np.uint64)
+def odd_sketch(sig: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity bitmap of each column's samples, in 64-bit words."""
+    out = np.zeros((sig.shape[1], words), np.uint64)
     cols = np.arange(sig.shape[1])
     for i, row in enumerate(sig):
-        pos = mix(row + np.uint64((i + 1) * 0xD1342543DE82EF95 % 2**64)) % np.uint64(SKETCH_WORDS * 64)
+        pos = mix(row + np.uint64((i + 1) * 0xD1342543DE82EF95 % 2**64)) % np.uint64(words * 64)
         out[cols, (pos >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (pos & np.uint64(63))
     return out
 
@@ -170,20 +171,45 @@ def exploded(width: int):
     return run
 
 
-def most_differing(threshold: float) -> int:
+def fine_sketches(width: int):
+    """mapInArrow function over (id, label, text): (id, fine), the sketch of FINE_SAMPLES samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+
+        def emit(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            sketches = list(odd_sketch(signatures(sets, FINE_SAMPLES), FINE_WORDS).view(np.int64)) if ids else []
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "fine"])
+
+        for batch in batches:
+            ids, sets, held = [], [], 0
+            for i, text in zip(batch.column(0), batch.column(2), strict=True):
+                s = shingles(text.as_py() or "", width, cache)
+                if set_key(s) == i.as_py():
+                    ids.append(i.as_py())
+                    sets.append(s)
+                    held += len(s) + FINE_SAMPLES
+                if held > CHUNK_WORDS:
+                    yield emit(ids, sets)
+                    ids, sets, held = [], [], 0
+            yield emit(ids, sets)
+
+    return run
+
+
+def most_differing(threshold: float, samples: int = SAMPLES, words: int = SKETCH_WORDS) -> int:
     """The XOR population count that a pair at the threshold exceeds with a chance of about 1e-7.
 
     Samples that differ are binomial; each toggles two bits, and toggles that meet cancel.
     """
-    differ = SAMPLES * (1 - threshold)
-    differ += 5.2 * math.sqrt(SAMPLES * threshold * (1 - threshold))
-    bits = SKETCH_WORDS * 64
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return math.ceil(expected + 1)
+    bits, differ = words * 64, samples * (1 - threshold)
+    left = (1 - 2 / bits) ** (2 * differ)
+    spread = math.sqrt((2 * left) ** 2 * samples * threshold * (1 - threshold) + 8 * differ * differ / bits)
+    return math.ceil(bits / 2 * (1 - left) + 5.2 * spread)
 
 
-def sketch_differs(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+def sketch_differs(left: str, right: str, words: int = SKETCH_WORDS) -> Column:
+    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(words)), F.lit(0))
 
 
 def near_duplicates(
@@ -215,7 +241,7 @@ def near_duplicates(
     spread = classes.select(F.explode("bands").alias("key"), F.col("cls").alias("id"))
     full = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = cut(spread.join(full, "key").distinct(), "band-members")
-    attributes = classes.select(F.col("cls").alias("id"), "n", "n", "sketch", "doc").toDF("id", "n", "shared", "sketch", "doc")
+    attributes = classes.select(F.col("cls").alias("id"), "n", "sketch", "doc")
     # the texts that verification may ask for, read and dealt out once
     wanted = members.select("id").distinct().join(attributes, "id").select("doc").distinct()
     texts = cut(source.withColumnRenamed("id", "doc").join(small(wanted), "doc", "left_semi"), "candidate-texts")
@@ -224,9 +250,15 @@ def near_duplicates(
         return den * both >= num * (left + right - both)
 
     def close() -> Column:
-        sizes = enough(F.least("l_n", "r_n", "l_shared", "r_shared"), F.col("l_n"), F.col("r_n"))
+        sizes = enough(F.least("l_n", "r_n"), F.col("l_n"), F.col("r_n"))
         return sizes & (sketch_differs("l_sketch", "r_sketch") <= most_differing(threshold))
 
+    def closer() -> Column:
+        """By the facts of screen; a pair that meets in several buckets counts in one of them."""
+        sizes = enough(F.least("l_n", "r_n", "l_shared", "r_shared"), F.col("l_n"), F.col("r_n"))
+        fine = sketch_differs("l_fine", "r_fine", FINE_WORDS) <= most_differing(threshold, FINE_SAMPLES, FINE_WORDS)
+        return sizes & fine & (F.array_min(F.array_intersect("l_bands", "r_bands")) == F.col("l_key"))
+
     def alive() -> Column:
         return enough(F.col("shared"), F.col("n"), F.greatest("n_lo", F.floor(F.col("n") * num / den)))
 
@@ -239,13 +271,15 @@ def near_duplicates(
 
     def screen(nodes: DataFrame) -> DataFrame:
         """shared: how many shingles of a set occur under other labels too. A link to one of these has no more in common."""
-        known = nodes.join(attributes.drop("shared"), "id").join(texts, "doc").select("id", "label", "text")
+        plain = classes.select(F.col("cls").alias("id"), "n", "bands", "doc")
+        known = nodes.join(plain.select("id", "doc"), "id").join(texts, "doc").select("id", "label", "text")
         grams = cut(known.mapInArrow(exploded(width), "g long, id long, label long"), "shingles")
         several = grams.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
         own = grams.select("g", "id").join(several, "g").distinct().groupBy("id").agg(F.count("*").alias("shared"))
-        return nodes.select("id").join(attributes.drop("shared"), "id").join(own, "id", "left").fillna(0, ["shared"])
+        fine = known.mapInArrow(fine_sketches(width), "id long, fine array<long>")
+        return fine.join(plain.drop("doc"), "id").join(own, "id", "left").fillna(0, ["shared"])
 
-    labels = linked(members, verify, attributes, close, screen, alive)
+    labels = linked(members, verify, attributes, closer, screen, alive)
     of_class = classes.select("cls", "doc").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "cls"))
     least = of_class.groupBy("label").agg(F.min("doc").alias("least"))
