@@ -1,0 +1,14 @@
+"""Broadcasts behind a check of size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that are sent to all workers at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows. The count reads no more than it needs."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

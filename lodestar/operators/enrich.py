@@ -18,6 +18,8 @@ def rollup(children: DataFrame, parent: str, order: str, text: str = "text", lim
     collected is bounded by the limit and one text.
     """
     units = children.withColumn("_t", strip(text)).where("_t <> ''")
+    # a unit takes three characters at least, so later ones can't be kept; this limits a hot parent before the shuffle
+    units = units.withColumn("_n", F.row_number().over(Window.partitionBy(parent).orderBy(order))).where(F.col("_n") <= limit).drop("_n")
     before = Window.partitionBy(parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("_t") + 2).over(before), F.lit(0))
     kept = units.withColumn("_used", used).where((F.col("_used") == 0) | ((F.col("_used") + F.length("_t") <= limit) & (F.col("_used") < limit)))

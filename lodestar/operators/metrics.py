@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.joins import small
+
 CUTS = (1, 3, 5, 10, 20)
 
 
@@ -17,7 +19,7 @@ def per_query(ranked: DataFrame, labels: DataFrame, retrievers: DataFrame | None
     labels = labels.select("query_id", "chunk_id").distinct()
     counts = labels.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     names = ranked.select("retriever").distinct() if retrievers is None else retrievers
-    grid = counts.join(F.broadcast(names))
+    grid = counts.join(small(names))
     hits = ranked.select("query_id", "retriever", "rank", "chunk_id").join(labels, ["query_id", "chunk_id"])
     order = Window.partitionBy("query_id", "retriever").orderBy("rank")
     hits = hits.withColumn("nth", F.row_number().over(order))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.joins import small
 from lodestar.functions.text import words
 
 #: The constants of reciprocal rank fusion, of the hybrid search and of BM25.
@@ -96,7 +97,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str, ob
     docs = corpus.select("chunk_id", matches(filters).alias("meets"), analyse(F.col("text")).alias("terms"))
     docs = docs.withColumn("dl", F.size("terms"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = asked.select("term").distinct()
+    vocabulary = small(asked.select("term").distinct())
     hits = docs.select("chunk_id", "meets", "dl", F.explode("terms").alias("term")).join(vocabulary, "term")
     tf = hits.groupBy("term", "chunk_id", "meets", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.joins import small
 from lodestar.functions.text import question_key, regexp_count, text_key
 
 #: Patterns of specific detail, bounds of lengths, shares and thresholds.
@@ -67,7 +68,7 @@ def contaminated(questions: DataFrame, held_out: DataFrame, key: str = "query_id
     counts = b.select(F.explode("other").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, words: str) -> DataFrame:
-        long = df.select("*", F.explode(words).alias("w")).join(F.broadcast(counts), "w", "left")
+        long = df.select("*", F.explode(words).alias("w")).join(small(counts), "w", "left")
         order = Window.partitionBy(words, *(c for c in df.columns if c != words)).orderBy(F.coalesce("n", F.lit(0)), "w")
         n = F.size(words) - F.ceil(F.lit(threshold) * F.size(words) - 1e-9) + 1
         return long.withColumn("_i", F.row_number().over(order)).where((F.col("_i") <= n) & F.col("n").isNotNull()).drop("_i", "n")
@@ -141,18 +142,19 @@ def split_queries(rows: DataFrame, query: str = "query", share: float = VALIDATI
     return rows.join(first_drawn(names, n).select(query, F.when(F.col("drawn"), "val").otherwise("train").alias("split")), query)
 
 
-def first_drawn(names: DataFrame, n: DataFrame) -> DataFrame:
-    """names (…, _h a hex digest) with drawn: whether _h is among the n smallest. No sort of all rows in one task.
+def first_drawn(names: DataFrame, n: DataFrame, *by: str) -> DataFrame:
+    """names (…, _h a hex digest) with drawn: whether _h is among the n smallest of its group by. No group is sorted in one task.
 
-    A histogram over the first four digits, of 65536 rows at most, finds the bucket in which the n-th
-    lies; only rows of that bucket are ranked.
+    n: (by, n). A histogram over the first four digits, of 65536 rows a group at most, finds the
+    bucket in which the n-th lies; only rows of that bucket are ranked.
     """
     names = names.withColumn("_b", F.substring("_h", 1, 4))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = names.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
-    buckets = histogram.join(F.broadcast(n)).select("_b", (F.col("_upto") <= F.col("n")).alias("_all"), (F.col("n") - F.col("_upto") + F.col("_c")).alias("_left"))
-    marked = names.join(F.broadcast(buckets), "_b")
-    edge = marked.where(~F.col("_all") & (F.col("_left") > 0)).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h")))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    histogram = names.groupBy(*by, "_b").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    histogram = histogram.join(small(n), list(by)) if by else histogram.crossJoin(F.broadcast(n))
+    buckets = histogram.select(*by, "_b", (F.col("_upto") <= F.col("n")).alias("_all"), (F.col("n") - F.col("_upto") + F.col("_c")).alias("_left"))
+    marked = names.join(small(buckets), [*by, "_b"])
+    edge = marked.where(~F.col("_all") & (F.col("_left") > 0)).withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h")))
     edge = edge.withColumn("drawn", F.col("_i") <= F.col("_left")).drop("_i")
     rest = marked.where(F.col("_all") | (F.col("_left") <= 0)).withColumn("drawn", F.col("_all"))
     return edge.unionByName(rest).drop("_b", "_all", "_left")
@@ -165,19 +167,15 @@ def assign_splits(entries: DataFrame, strata: list[str], key: str = "eval_id", s
     digest among those without a split; a value that is no split is an error.
     """
     known = F.when(F.col("split").isNull() | F.col("split").isin("dev", "test"), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("no such split: "), F.col("split"))))
-    whole = Window.partitionBy(*strata)
-    rows = entries.withColumn("split", known)
-    rows = rows.withColumns(
-        {
-            "_target": F.bround(F.count_if("verified").over(whole) * F.lit(share)),
-            "_taken": F.count_if(F.col("verified") & (F.col("split") == "test")).over(whole),
-            "_free": (F.col("verified") & F.col("split").isNull()),
-        }
-    )
-    order = Window.partitionBy(*strata, "_free").orderBy(F.sha2(F.col(key).cast("string"), 256))
-    rows = rows.withColumn("_nth", F.row_number().over(order))
-    drawn = F.col("_free") & (F.col("_nth") <= F.col("_target") - F.col("_taken"))
-    return rows.withColumn("split", F.coalesce("split", F.when(drawn, "test").otherwise("dev"))).drop("_target", "_taken", "_free", "_nth")
+    # a stratum's name as one text, in which nulls have a place
+    rows = entries.withColumn("split", known).withColumn("_s", F.to_json(F.struct(*strata)))
+    is_free = F.col("verified") & F.col("split").isNull()
+    target = F.bround(F.count_if("verified") * F.lit(share)) - F.count_if(F.col("verified") & (F.col("split") == "test"))
+    free = rows.where(is_free).withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    drawn = first_drawn(free, rows.groupBy("_s").agg(target.alias("n")), "_s")
+    chosen = drawn.withColumn("split", F.when(F.col("drawn"), "test").otherwise("dev")).select(*rows.columns)
+    rest = rows.where(~F.coalesce(is_free, F.lit(False))).withColumn("split", F.coalesce("split", F.lit("dev")))
+    return chosen.unionByName(rest).drop("_s")
 
 
 def unseen(hits: DataFrame, labels: DataFrame, n: int) -> DataFrame:

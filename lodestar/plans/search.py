@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.joins import small
 from lodestar.functions.text import let, words
 from lodestar.operators import evaluation, lsh, metrics, retrieval
 from lodestar.operators.stemming import english
@@ -57,7 +58,7 @@ def relevant(spark: SparkSession, d: str) -> DataFrame:
         return let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
 
     grams = F.flatten(F.array(*map(windows, lengths)))
-    hits = docs.select("chunk_id", F.explode(F.array_distinct(grams)).alias("key")).join(F.broadcast(items.select("query_id", "key")), "key")
+    hits = docs.select("chunk_id", F.explode(F.array_distinct(grams)).alias("key")).join(small(items.select("query_id", "key")), "key")
     pairs = hits.select("query_id", "chunk_id").distinct()
     return pairs.join(items.select("query_id", "item"), "query_id").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import schemas
+from lodestar.functions.joins import small
 from lodestar.operators.facts import extract_facts
 
 
@@ -48,7 +49,7 @@ def write_facts(rows: DataFrame, path: str) -> None:
 def company_facts(spark: SparkSession, path: str, ciks: DataFrame) -> DataFrame:
     """Facts of whole JSON files named <ticker>.json; ciks: (company, cik)."""
     files = spark.read.text(path, wholetext=True).select(F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)).alias("company"), F.col("value").alias("payload"))
-    return extract_facts(files.join(F.broadcast(ciks), "company"))
+    return extract_facts(files.join(small(ciks), "company"))
 
 
 def submissions(payloads: DataFrame, forms: Iterable[str], first: str, last: str, payload: str = "payload") -> DataFrame:
