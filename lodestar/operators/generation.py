@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import let, strip
 
-#: The refusal, the passages given at most, and the instructions of the prompts.
+#: The refusal, and the passages given at most.
 REFUSAL = "The provided filings do not state this."
 MOST_PASSAGES = 6
 INSTRUCTION = (
-    "You are a due-diligence analyst answering questions about SEC filings from US regional banks. You are given numbered passages "
-    "extracted from real filings.\n\nRules:\n1. Answer ONLY from the numbered passages provided. Do not use outside knowledge about these "
-    "companies.\n2. Cite every factual claim with the passage number in square brackets, like [1] or [2][3].\n3. If the passages do not "
-    f'contain the answer, say exactly: "{REFUSAL}" Do not guess, and do not fill gaps from memory.\n4. Quote figures exactly as they '
-    "appear. Do not round, convert, or recalculate them.\n5. Be concise — a few sentences unless the question needs more.\n"
+    "You answer questions about the filings of banks from numbered passages.\n\n"
+    "Use the passages alone. After each fact give the number of its passage in square brackets, such as [1] or [2][3]. Give figures "
+    f'as they are written. If the passages lack the answer, reply exactly: "{REFUSAL}" Be brief.\n'
 )
 MIN_QUESTION = 15
 PREAMBLES = ("here are", "sure", "questions:")
@@ -88,12 +86,9 @@ def questions_in(reply: str | Column, most: int = 3) -> Column:
 
 
 GENERATION_PROMPT = (
-    "You are creating training data for a search system over SEC filings from US regional banks.\n\nRead the passage below and write {n} "
-    "distinct questions that this passage directly answers.\n\nRules:\n1. Each question must be answerable using ONLY this passage.\n2. Write "
-    "questions a financial analyst would actually ask — about figures, risks, terms, dates, or events.\n3. Name the company or the subject "
-    'explicitly. Do not write "this bank" or "the company", because the question will be searched against a corpus of five different '
-    'banks.\n4. Do not reference "the passage" or "the document" in the question itself.\n5. Vary the phrasing. Do not copy long '
-    "word-for-word spans from the passage.\n6. Output ONLY the questions, one per line, with no numbering and no commentary.\n\n"
+    "Write {n} different questions that the passage below answers, as someone who studies banks would ask them of a search engine.\n\n"
+    "The passage alone must be enough to answer each. Name the company or the subject; don't speak of the passage or the document. "
+    "Use your own words. Give one question a line, without numbers or remarks.\n\n"
 )
 
 

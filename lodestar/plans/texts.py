@@ -166,8 +166,8 @@ def judge_parse(spark, d):
 
 
 @query(
-    """SELECT conv_id, 'You are a due-diligence' = substr(p, 1, 23) AS starts, length(p) - length(replace(p, ' filed ', '')) AS filed, substr(p, strpos(p, '--- PASSAGES ---'), 1000000) AS body FROM (
-  SELECT conv_id, 'You are a due-diligence' || chr(10) || '--- PASSAGES ---' || chr(10) || chr(10) ||
+    """SELECT conv_id, 'You answer questions' = substr(p, 1, 20) AS starts, length(p) - length(replace(p, ' filed ', '')) AS filed, substr(p, strpos(p, '--- PASSAGES ---'), 1000000) AS body FROM (
+  SELECT conv_id, 'You answer questions' || chr(10) || '--- PASSAGES ---' || chr(10) || chr(10) ||
     string_agg('[' || n || '] ' || role || ' turn filed ' || turn || ' — s' || turn || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY n) ||
     chr(10) || chr(10) || '--- QUESTION ---' || chr(10) || 'q' || conv_id || chr(10) || chr(10) || '--- ANSWER ---' || chr(10) AS p
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 6 GROUP BY conv_id)"""
@@ -180,7 +180,7 @@ def prompts(spark, d):
     by = by.select("conv_id", F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question"), F.slice("passages", 1, generation.MOST_PASSAGES).alias("passages"))
     out = by.withColumn("p", generation.prompt())
     filed = 7 * regexp_count("body", " filed ")
-    return out.select("conv_id", F.startswith("p", F.lit("You are a due-diligence")).alias("starts"), F.substring_index("p", "--- PASSAGES ---", -1).alias("b")).select(
+    return out.select("conv_id", F.startswith("p", F.lit("You answer questions")).alias("starts"), F.substring_index("p", "--- PASSAGES ---", -1).alias("b")).select(
         "conv_id", "starts", F.concat(F.lit("--- PASSAGES ---"), "b").alias("body")
     ).withColumn("filed", filed)
 
