@@ -31,6 +31,8 @@ LEAST_LETTERS = 3
 TRIM = ".,;:!?()[]{}\"'<>|*#$%&=/\\-_+~`"
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 BLOCK = 256
+#: Of so many parts of the lines one gives the first bounds.
+PARTS = 32
 
 
 def let(value: Column, body) -> Column:
@@ -154,10 +156,22 @@ def disclosing_terms(source: DataFrame, known: DataFrame) -> DataFrame:
     of_entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_LINES)
     pairs = near.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut(pairs.where(F.col("n_et") >= LEAST_LINES).join(of_entity, "entity"), "pairs")
-    words = lines(source).select("line", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
-    words = words.select("line", F.btrim("word", F.lit(TRIM)).alias("term")).join(small(pairs.select("term").distinct()), "term")
-    of_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     n = lines(source).select("line").distinct().count()
+    # the most lines that a term can stand in and still disclose the entity enough
+    most = F.col("n_et") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), F.lit(1 - GENERALISE)) + 1e-6
+    pairs = pairs.withColumn("most", most)
+
+    def occurrences(terms: DataFrame, some: Column) -> DataFrame:
+        """(term, n_t): in how many of some distinct lines each of terms stands."""
+        words = lines(source).where(some).select("line", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
+        words = words.select("line", F.btrim("word", F.lit(TRIM)).alias("term")).join(small(terms), "term")
+        return words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+
+    # counts over a part of the lines are bounds from below: they rule out the common words, and
+    # with them most of the rows to deal out, before the others are counted over all lines
+    below = occurrences(pairs.select("term").distinct(), F.pmod("line", F.lit(PARTS)) == 0).withColumnRenamed("n_t", "low")
+    pairs = pairs.join(below, "term", "left").where(F.coalesce("low", F.lit(0)) <= F.col("most")).drop("low")
+    of_term = occurrences(pairs.select("term").distinct(), F.lit(True))
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     shared = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     out = pairs.join(of_term, "term").where(F.col("n_e") < n)
