@@ -139,9 +139,11 @@ def contexts(lines: DataFrame) -> DataFrame:
             words = F.concat(last, F.slice(after, F.lit(1), F.lit(WINDOW)))
             return F.array_distinct(F.filter(F.transform(words, term), is_term))
 
-        one = lines.where(F.col("text").rlike(PATTERNS[kind])).select("line", split.alias("gaps"), F.posexplode(values).alias("i", "value"))
-        one = one.where(passes(kind, F.col("value")))
-        one = one.select("line", F.concat(F.lit(f"{kind}:"), F.lower("value")).alias("entity"), near(F.col("gaps"), F.col("i")).alias("terms"))
+        # each entity takes only the words around it along, so a line of many entities stays linear
+        both = F.struct(split.alias("gaps"), values.alias("values"))
+        found_ = let(both, lambda b: F.transform(b["values"], lambda v, i: F.struct(v.alias("value"), near(b["gaps"], i).alias("terms"))))
+        one = lines.where(F.col("text").rlike(PATTERNS[kind])).select("line", F.explode(found_).alias("m")).where(passes(kind, F.col("m.value")))
+        one = one.select("line", F.concat(F.lit(f"{kind}:"), F.lower("m.value")).alias("entity"), F.col("m.terms").alias("terms"))
         out = one if out is None else out.unionByName(one)
     return out
 
