@@ -208,8 +208,8 @@ def most_differing(threshold: float, samples: int = SAMPLES, words: int = SKETCH
     return math.ceil(bits / 2 * (1 - left) + 5.2 * spread)
 
 
-def sketch_differs(left: str, right: str, words: int = SKETCH_WORDS) -> Column:
-    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(words)), F.lit(0))
+def sketch_differs(left: str, right: str) -> Column:
+    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
 def near_duplicates(
@@ -256,8 +256,10 @@ def near_duplicates(
     def closer() -> Column:
         """By the facts of screen; a pair that meets in several buckets counts in one of them."""
         sizes = enough(F.least("l_n", "r_n", "l_shared", "r_shared"), F.col("l_n"), F.col("r_n"))
-        fine = sketch_differs("l_fine", "r_fine", FINE_WORDS) <= most_differing(threshold, FINE_SAMPLES, FINE_WORDS)
-        return sizes & fine & (F.array_min(F.array_intersect("l_bands", "r_bands")) == F.col("l_key"))
+        coarse = sketch_differs("l_sketch", "r_sketch") <= most_differing(threshold)
+        bits = F.zip_with("l_fine", "r_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        fine = F.aggregate(bits, F.lit(0), lambda a, x: a + x) <= most_differing(threshold, FINE_SAMPLES, FINE_WORDS)
+        return sizes & coarse & fine & (F.array_min(F.array_intersect("l_bands", "r_bands")) == F.col("l_key"))
 
     def alive() -> Column:
         return enough(F.col("shared"), F.col("n"), F.greatest("n_lo", F.floor(F.col("n") * num / den)))
@@ -271,7 +273,7 @@ def near_duplicates(
 
     def screen(nodes: DataFrame) -> DataFrame:
         """shared: how many shingles of a set occur under other labels too. A link to one of these has no more in common."""
-        plain = classes.select(F.col("cls").alias("id"), "n", "bands", "doc")
+        plain = classes.select(F.col("cls").alias("id"), "n", "bands", "sketch", "doc")
         known = nodes.join(plain.select("id", "doc"), "id").join(texts, "doc").select("id", "label", "text")
         grams = cut(known.mapInArrow(exploded(width), "g long, id long, label long"), "shingles")
         several = grams.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
