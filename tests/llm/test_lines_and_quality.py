@@ -78,6 +78,18 @@ def test_lines_equal_brute_force(docs):
     assert sum(r["n_lines_removed"] for r in out.values()) > 20
 
 
+def test_lines_of_three_differing_bits_link(docs):
+    rng, found = random.Random(7), {}
+    while len(found) < 5:
+        line = [f"w{rng.randrange(400)}" for _ in range(30)]
+        near = [*line[:-1], f"x{rng.randrange(10**6)}"]
+        if bin(simhash(line) ^ simhash(near)).count("1") == 3:
+            found[len(found)] = (" ".join(line), " ".join(near))
+    rows = [(2 * i + k, line) for i, pair in found.items() for k, line in enumerate(pair)]
+    out = {r["doc_id"]: r["n_lines_removed"] for r in dedup_lines(docs(rows)).collect()}
+    assert out == {i: i % 2 for i in range(10)}
+
+
 def test_odd_lines(odd, empty, docs):
     out = dedup_lines(odd).collect()
     assert len(out) == odd.count() and set(odd.columns) <= set(out[0].asDict())
