@@ -7,7 +7,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +23,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api_key", "apikey")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: A body goes up to the next five hyphens, so header lines may have some.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/_=-])")
 HEXADECIMAL = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Za-z])")
+#: Runs of either alphabet with nothing but a line break between them.
+PIECE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-]){PIECE.pattern}(?:[\x20\t]*+\r?\n[\x20\t]*+{PIECE.pattern})++")
+MAGIC = b"openssh-key-v1\0"
 
 
 def unbase64(text: str) -> bytes | None:
@@ -38,6 +45,13 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def unhex(text: str) -> bytes | None:
+    try:
+        return bytes.fromhex(text)
+    except ValueError:
+        return None
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of the elements that fill data exactly, None if a length doesn't fit."""
     out, at = [], 0
@@ -81,10 +95,9 @@ def is_key_der(data: bytes) -> bool:
 
 def is_openssh(data: bytes) -> bool:
     """An OpenSSH private key: its magic, then fields whose lengths fill the rest."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(MAGIC):
         return False
-    at = len(magic)
+    at = len(MAGIC)
 
     def field() -> bytes | None:
         nonlocal at
@@ -124,6 +137,61 @@ def decoded_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh(data) else "der" if is_key_der(data) else None
 
 
+def bytes_needed(data: bytes) -> int:
+    """How long a key that begins with data is, as far as data tells: more than it has if a length is still to come, 0 if it is none."""
+    if data[:1] == b"\x30" and len(data) >= 6:
+        n = data[1] & 0x7F
+        if not data[1] & 0x80:
+            return 2 + n
+        return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+    if not data.startswith(MAGIC):
+        return 0
+    at, fields = len(MAGIC), 3
+    for is_count in (True, False):
+        for _ in range(fields):
+            if at + 4 > len(data):
+                return at + 4
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if is_count:
+            if at + 4 > len(data):
+                return at + 4
+            fields, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+            if not 2 <= fields <= 17:
+                return 0
+    return at
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, place of the kind, end) of keys in base64 or hex that go over several lines, also where line breaks are escaped.
+
+    A key may begin with any run of a chain of lines, and its own lengths say where it ends, so
+    that words on the lines before and after it do no harm.
+    """
+    out = []
+    flat = text.replace("\\r", "  ").replace("\\n", "\n ") if "\\" in text else text
+    for chain in WRAPPED.finditer(flat):
+        if chain.end() - chain.start() < 40:
+            continue
+        pieces = list(PIECE.finditer(flat, chain.start(), chain.end()))
+        runs = [p[0].rstrip("=") for p in pieces]
+        ends, after = [0, *accumulate(map(len, runs))], 0
+        for i in range(len(pieces) - 1):
+            for decode, bits in ((unbase64, 6), (unhex, 4)):
+                need, have, last = len(MAGIC), b"", i
+                while i >= after and need > len(have):
+                    chars = -(-8 * need // bits)
+                    last = bisect_left(ends, ends[i] + chars) - 1
+                    if last >= len(pieces) or not (have := decode("".join(runs[i : last + 1])[:chars])):
+                        break
+                    need = bytes_needed(have)
+                else:
+                    whole = need == len(have) and last > i and ends[last + 1] == ends[i] + -(-8 * need // bits)
+                    if whole and (kind := decoded_kind(decode("".join(p[0] for p in pieces[i : last + 1])))):
+                        out.append((pieces[i].start(), KINDS.index(kind), pieces[last].end()))
+                        after = last + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the pattern kinds. Matches that fail are dropped without a retry."""
     out = []
@@ -140,18 +208,19 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     place = {k: i for i, k in enumerate(KINDS)}
     for m in PEM.finditer(text):
-        body = "".join(x for x in m[2].splitlines() if ":" not in x and x.strip()).replace(" ", "")
-        data = unbase64(body.replace("\\n", ""))
+        lines = m[2].replace("\\r", "").replace("\\n", "\n").splitlines()
+        data = unbase64("".join(x for x in lines if ":" not in x).replace(" ", "").replace("\t", ""))
         if decoded_kind(data) or data and "ENCRYPTED" in m[2] and len(data) % 8 == 0:
             out.append((m.start(), place["pem"], m.end()))
     inside = [(a, b) for a, _, b in out]
     for m in TOKEN.finditer(text) if "ey" in text else ():
         if is_token(m[1], m[2], m[3]):
             out.append((m.start(), place["token"], m.end()))
-    for pattern, decode in ((ENCODED, unbase64), (HEXADECIMAL, bytes.fromhex)):
+    for pattern, decode in ((ENCODED, unbase64), (HEXADECIMAL, unhex)):
         for m in pattern.finditer(text):
             if (kind := decoded_kind(decode(m[0]))) and not any(a <= m.start() < b for a, b in inside):
                 out.append((m.start(), place[kind], m.end()))
+    out += [x for x in wrapped_spans(text) if not any(a <= x[0] < b for a, b in inside)]
     return list(dict.fromkeys(out))
 
 
@@ -166,10 +235,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             base, more = [], []
             if len(text) >= 12:
-                # every pattern but assign needs a long run without white space
-                if max(map(len, text.split()), default=0) >= 20 or any(w in text.lower() for w in WORDS):
-                    base = base_spans(text)
-                    more = confirmed_spans(text)
+                base = base_spans(text)
+                more = confirmed_spans(text)
             ids.append(i.as_py())
             for k, column in enumerate(counts):
                 column.append(sum(x[1] == k for x in base))
@@ -183,7 +250,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: (id, n_assign, n_access, n_hex, base_sha256, spans).
 
     spans joins kind:start:end, in code points, by start and kind. Beside the pattern kinds it has
-    base64 and hex runs that decode to a private key (der, openssh), key blocks between their
+    base64 and hex runs, also over several lines, that decode to a private key (der, openssh), key blocks between their
     marks (pem) and signed tokens (token); what doesn't decode to such a structure is not
     reported. A null text counts as empty; null ids stay null; repeated rows give repeated
     results. Other columns are ignored.

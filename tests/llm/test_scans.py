@@ -122,6 +122,35 @@ def test_structures_are_confirmed(text, kind):
     assert (4, S.KINDS.index(kind), 4 + len(text)) in spans
 
 
+def wrapped(text, width=64, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+SEALED = base64.b64encode(bytes(range(1, 161))).decode()
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        (f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0F' * 16}\n\n{wrapped(SEALED)}\n-----END RSA PRIVATE KEY-----", "pem"),
+        (f"-----BEGIN RSA PRIVATE KEY-----\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: AES-128-CBC,00\\n\\n{wrapped(SEALED, end=chr(92) + 'n')}\\n-----END RSA PRIVATE KEY-----", "pem"),
+        (wrapped(base64.b64encode(RSA).decode()), "der"), (wrapped(base64.b64encode(RSA).decode().rstrip("="), 76, "\r\n  "), "der"),
+        (wrapped(base64.b64encode(RSA).decode(), end="\\n"), "der"), (wrapped(base64.b64encode(PKCS8).decode(), 16), "der"),
+        (wrapped(RSA.hex(), 32), "der"), (wrapped(RSA.hex().upper(), 60), "der"), (wrapped(base64.b64encode(SSH).decode()), "openssh"),
+    ],
+)
+def test_structures_over_several_lines_are_confirmed(text, kind):
+    for before, after in (("see ", " there"), ("the\nkey\n", "\nand\nmore")):
+        assert S.confirmed_spans(before + text + after) == [(len(before), S.KINDS.index(kind), len(before) + len(text))]
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["id", "text"])
+    assert f"{kind}:0:{len(text)}" in next(S.scan(iter([batch]))).column(5)[0].as_py()
+
+
+@pytest.mark.parametrize("text", [wrapped(base64.b64encode(RSA[:-3]).decode()), wrapped(base64.b64encode(bytes(300)).decode()), "word\n" * 3000, f"-----BEGIN PRIVATE KEY-----\n{SEALED}\n-----END PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" * 3000])
+def test_lines_that_do_not_decode_are_not_reported(text):
+    assert S.confirmed_spans(text) == []
+
+
 @pytest.mark.parametrize("text", [base64.b64encode(PKCS8[:-1] + b"xx").decode(), RSA.hex()[:-2], base64.b64encode(SSH + b"x").decode(), TOKEN.replace("e", "f", 1), base64.b64encode(bytes(60)).decode(), "ab" * 40, "x.y.z"])
 def test_what_does_not_decode_is_not_reported(text):
     assert S.confirmed_spans(f"see {text} there") == []
