@@ -7,6 +7,8 @@ n counts the distinct lines of the corpus: 1 for a term that never stands withou
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: What a text must hold for a pattern to match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words before and after an entity, in its line, that are its context.
-WINDOW = 8
 #: Lines that an entity and a term must share before they tell anything, and disclosures from which terms go.
 LEAST_LINES, GENERALISE, REMOVE = 2, 0.85, 0.95
 LEAST_LETTERS = 3
@@ -126,58 +126,90 @@ def is_term(t: Column) -> Column:
     return (F.length(t) >= LEAST_LETTERS) & ~t.rlike(r"[0-9@]")
 
 
-def contexts(lines: DataFrame) -> DataFrame:
-    """(line, entity, terms) of the lines (line, text): an entity's distinct terms of the words around it."""
+def entities_of(lines: DataFrame) -> DataFrame:
+    """(line, entity) of the lines (line, text)."""
     out = None
     for kind in PATTERNS:
-        split = F.split("text", PATTERNS[kind], -1)
         values = F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))
-
-        def near(gaps: Column, i: Column) -> Column:
-            before, after = (F.array_remove(F.split(F.get(gaps, k), SPACE), "") for k in (i, i + 1))
-            last = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)))
-            words = F.concat(last, F.slice(after, F.lit(1), F.lit(WINDOW)))
-            return F.array_distinct(F.filter(F.transform(words, term), is_term))
-
-        # each entity takes only the words around it along, so a line of many entities stays linear
-        both = F.struct(split.alias("gaps"), values.alias("values"))
-        found_ = let(both, lambda b: F.transform(b["values"], lambda v, i: F.struct(v.alias("value"), near(b["gaps"], i).alias("terms"))))
-        one = lines.where(F.col("text").rlike(PATTERNS[kind])).select("line", F.explode(found_).alias("m")).where(passes(kind, F.col("m.value")))
-        one = one.select("line", F.concat(F.lit(f"{kind}:"), F.lower("m.value")).alias("entity"), F.col("m.terms").alias("terms"))
+        one = lines.where(F.col("text").rlike(PATTERNS[kind])).select("line", F.explode(F.array_distinct(values)).alias("value")).where(passes(kind, F.col("value")))
+        one = one.select("line", F.xxhash64(F.concat(F.lit(f"{kind}:"), F.lower("value"))).alias("entity"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.distinct()
+
+
+def outside(text: Column) -> Column:
+    """The text with a space in the place of each entity."""
+
+    def without(kind: str, t: Column) -> Column:
+        def joined(b: Column) -> Column:
+            return F.array_join(F.zip_with(b["gaps"], b["values"], lambda g, v: F.concat(g, F.when(v.isNull(), "").when(passes(kind, v), " ").otherwise(v))), "")
+
+        both = F.struct(F.split(t, PATTERNS[kind], -1).alias("gaps"), F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)).alias("values"))
+        may = t.rlike(PATTERNS[kind])
+        if NEEDS[kind]:
+            may = t.contains(NEEDS[kind]) & may
+        return F.when(may, let(both, joined)).otherwise(t)
+
+    for kind in PATTERNS:
+        text = let(text, partial(without, kind))
+    return text
+
+
+def same_lines() -> list[Column]:
+    """A fingerprint of a group's distinct lines, added up, so that no group is gathered."""
+    return [F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x")]
 
 
 def disclosing_terms(source: DataFrame, known: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) from the texts of the corpus and those that hold an entity."""
+    """(entity, term, disclosure) from the texts of the corpus and those that hold an entity.
+
+    Entities that stand in the same lines are one class, and so are terms that stand in the same
+    lines of entities and in as many of the corpus: a line of many entities and terms that recurs
+    gives one pair of classes. A term that stands in more lines than its largest class of entities
+    allows goes before pairs are made.
+    """
 
     def lines(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
 
-    near = cut(contexts(lines(known)).select(F.xxhash64("entity").alias("entity"), "line", "terms"), "contexts")
-    of_entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_LINES)
-    pairs = near.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = cut(pairs.where(F.col("n_et") >= LEAST_LINES).join(of_entity, "entity"), "pairs")
+    near = cut(entities_of(lines(known)), "entity-lines")
+    of_entity = near.groupBy("entity").agg(*same_lines()).where(F.col("n") >= LEAST_LINES)
+    of_entity = cut(of_entity.select("entity", F.xxhash64("n", "s", "x").alias("class"), F.col("n").alias("n_e")), "entity-classes")
+    at = cut(near.join(small(of_entity), "entity").select("class", "line", "n_e").distinct(), "class-lines")
     n = lines(source).select("line").distinct().count()
-    # the most lines that a term can stand in and still disclose the entity enough
-    most = F.col("n_et") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), F.lit(1 - GENERALISE)) + 1e-6
-    pairs = pairs.withColumn("most", most)
+
+    def most(together: Column) -> Column:
+        """The most lines that a term can stand in and still disclose the entity enough."""
+        return together * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), F.lit(1 - GENERALISE)) + 1e-6
+
+    reach = at.groupBy("line").agg(F.max(most(F.col("n_e"))).alias("reach"))
+    texts = lines(known).join(small(reach), "line").groupBy("line").agg(F.first("text").alias("text"), F.first("reach").alias("reach"))
+    words = F.array_distinct(F.filter(F.transform(F.split(outside(F.col("text")), SPACE), term), is_term))
+    words = cut(texts.select("line", "reach", F.explode(words).alias("term")), "context-words")
+    terms = words.groupBy("term").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).where(F.col("n") >= LEAST_LINES)
+    terms = cut(terms.select("term", "reach"), "context-terms")
 
     def occurrences(terms: DataFrame, some: Column) -> DataFrame:
         """(term, n_t): in how many of some distinct lines each of terms stands."""
-        words = lines(source).where(some).select("line", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
-        words = words.select("line", F.btrim("word", F.lit(TRIM)).alias("term")).join(small(terms), "term")
+        words = lines(source).where(some).select("line", F.explode(F.split(outside(F.col("text")), SPACE)).alias("word"))
+        words = words.select("line", term(F.col("word")).alias("term")).join(small(terms), "term")
         return words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
 
     # counts over a part of the lines are bounds from below: they rule out the common words, and
     # with them most of the rows to deal out, before the others are counted over all lines
-    below = occurrences(pairs.select("term").distinct(), F.pmod("line", F.lit(PARTS)) == 0).withColumnRenamed("n_t", "low")
-    pairs = pairs.join(below, "term", "left").where(F.coalesce("low", F.lit(0)) <= F.col("most")).drop("low")
-    of_term = occurrences(pairs.select("term").distinct(), F.lit(True))
+    below = occurrences(terms.select("term"), F.pmod("line", F.lit(PARTS)) == 0).withColumnRenamed("n_t", "low")
+    terms = cut(terms.join(below, "term", "left").where(F.coalesce("low", F.lit(0)) <= F.col("reach")).drop("low"), "rare-terms")
+    of_term = cut(terms.join(occurrences(terms.select("term"), F.lit(True)), "term").where(F.col("n_t") <= F.col("reach")).select("term", "n_t"), "term-counts")
+    words = cut(words.join(small(of_term), "term").select("term", "line", "n_t"), "rare-words")
+    of_term = words.groupBy("term", "n_t").agg(*same_lines())
+    of_term = cut(of_term.select("term", "n_t", F.xxhash64("n", "s", "x", "n_t").alias("set")), "term-classes")
+    sets = words.join(small(of_term.select("term", "set")), "term").select("set", "line", "n_t").distinct()
+    pairs = sets.join(at, "line").where(F.col("n_t") <= most(F.col("n_e"))).groupBy("class", "set", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    pairs = pairs.where((F.col("n_et") >= LEAST_LINES) & (F.col("n_t") <= most(F.col("n_et"))) & (F.col("n_e") < n))
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     shared = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    out = pairs.join(of_term, "term").where(F.col("n_e") < n)
-    return out.select("entity", "term", (shared / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    pairs = cut(pairs.select("class", "set", (shared / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "class-pairs")
+    return pairs.join(of_entity, "class").join(of_term, "set").select("entity", "term", "disclosure")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,6 +57,21 @@ def test_terms_that_go_with_an_entity_go(docs):
     assert out[2]["spans"] == "remove:8:16,email:18:27" and out[3]["spans"] == "email:23:32" and out[100]["spans"] == ""
 
 
+def test_terms_far_from_their_entity_in_its_line_go(docs):
+    far = lambda k: " ".join(f"w{k}{chr(97 + i)}x" for i in range(40))
+    noise = [(100 + i, f"filler words number {i} and more of them stand here") for i in range(50)]
+    rows = [(1, f"Smithson {far(1)} joe@x.org"), (2, f"joe@x.org {far(2)} smithson"), (3, f"joe@x.org {far(3)} Smithson's"), *noise]
+    out = {r["doc_id"]: r["spans"] for r in find_personal_data(docs(rows)).collect()}
+    assert out[1].startswith("remove:0:8,") and out[2].split(",")[1].startswith("remove:") and "remove" not in out[3] + out[100]
+
+
+def test_many_entities_and_terms_of_a_line(spark):
+    lines = ["x " + " ".join(f"e{i}@x.org term{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(300)) + tail for tail in (" one", " two")]
+    source = spark.createDataFrame([(i, t) for i, t in enumerate(lines + [f"noise {i}" for i in range(60)])], "id long, text string")
+    out = disclosing_terms(source, source.where("id < 2").select("text"))
+    assert out.select("term").distinct().count() >= 300 and {round(r[0], 6) for r in out.select("disclosure").distinct().collect()} == {1.0}
+
+
 def test_disclosure_counts_distinct_lines(spark):
     import math
 
