@@ -161,7 +161,7 @@ def same_lines() -> list[Column]:
 
 
 def disclosing_terms(source: DataFrame, known: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) from the texts of the corpus and those that hold an entity.
+    """(term, disclosure), of the entity that it discloses most, from the texts of the corpus and those that hold an entity.
 
     Entities that stand in the same lines are one class, and so are terms that stand in the same
     lines of entities and in as many of the corpus: a line of many entities and terms that recurs
@@ -209,15 +209,16 @@ def disclosing_terms(source: DataFrame, known: DataFrame) -> DataFrame:
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     shared = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     pairs = cut(pairs.select("class", "set", (shared / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "class-pairs")
-    return pairs.join(of_entity, "class").join(of_term, "set").select("entity", "term", "disclosure")
+    best = pairs.groupBy("set").agg(F.max("disclosure").alias("disclosure"))
+    return best.join(of_term, "set").select("term", "disclosure")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised).
 
     spans joins kind:start:end, in code points, by start and kind. Beside the pattern kinds it has,
-    in texts that hold an entity, the words that disclose it: remove where nearly nothing else is
-    said with them, generalise below that. sanitised is the text with spans replaced, null where
+    in every text, the words that disclose an entity of the corpus: remove where nearly nothing
+    else is said with them, generalise below that. sanitised is the text with spans replaced, null where
     there are none. A null text counts as empty; null ids stay null; repeated rows give repeated
     results. Other columns are ignored. Without entities that recur nothing is disclosed.
     """
@@ -229,18 +230,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.array_sort(F.concat(*(F.col(k) for k in PATTERNS))).alias("base"),
         "text",
     )
-    own = own.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
-    own = cut(own.withColumn("key", F.when(F.size("base") > 0, F.xxhash64("id", "text"))), "pattern-spans")
-    known = own.where("key is not null")
-    telling = cut(disclosing_terms(source, known.select("text")), "disclosing-terms")
-
-    names = F.array(*map(F.lit, KINDS))
-    entities = known.select("key", F.explode("base").alias("s")).select(
-        "key", F.xxhash64(F.concat(F.get(names, F.col("s.kind")), F.lit(":"), F.lower("s.value"))).alias("entity")
-    )
-    told = entities.distinct().join(telling, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("d"))
-    told = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("d") >= REMOVE, 4).otherwise(5)))).alias("told"))
-    out = own.join(told, "key", "left")
+    own = own.withColumn("key", F.xxhash64("id", "text")).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+    own = cut(own, "pattern-spans")
+    telling = disclosing_terms(source, own.where("text is not null").select("text"))
+    telling = small(telling.select("term", F.when(F.col("disclosure") >= REMOVE, 4).otherwise(5).alias("kind")))
+
+    # texts that say a term, whether or not they hold an entity
+    keyed = source.select(F.xxhash64("id", "text").alias("key"), "text")
+    words = keyed.select("key", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).select("key", F.btrim("word", F.lit(TRIM)).alias("term"))
+    told = words.join(telling, "term").distinct().groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    told = cut(told, "told")
+    texts = keyed.join(small(told.select("key")), "key").groupBy("key").agg(F.first("text").alias("whole"))
+    out = own.join(told.join(texts, "key"), "key", "left").withColumn("text", F.coalesce("text", "whole"))
 
     def marked(words: Column) -> Column:
         def span(w: Column) -> Column:

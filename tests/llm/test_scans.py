@@ -65,6 +65,13 @@ def test_terms_far_from_their_entity_in_its_line_go(docs):
     assert out[1].startswith("remove:0:8,") and out[2].split(",")[1].startswith("remove:") and "remove" not in out[3] + out[100]
 
 
+def test_terms_go_from_texts_without_their_entity(docs):
+    noise = [(100 + i, f"filler words number {i} and more of them stand here") for i in range(300)]
+    rows = [(i, f"number{'abcdefghijklmnopqrstuvwxyz'[i]} of Smithson joe@x.org") for i in range(1, 20)] + [(50, "Then (Smithson) left."), (50, "Then (Smithson) left."), *noise]
+    out = [r for r in find_personal_data(docs(rows)).collect() if r["doc_id"] == 50]
+    assert [(r["n_email"], r["spans"], r["sanitised"]) for r in out] == [(0, "remove:6:14", "Then () left.")] * 2
+
+
 def test_many_entities_and_terms_of_a_line(spark):
     lines = ["x " + " ".join(f"e{i}@x.org term{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(300)) + tail for tail in (" one", " two")]
     source = spark.createDataFrame([(i, t) for i, t in enumerate(lines + [f"noise {i}" for i in range(60)])], "id long, text string")
