@@ -16,6 +16,8 @@ from .shared import cut
 
 #: Pairs a member that a join may look at, which costs little, as its condition keeps nearly none.
 CHEAP = 200
+#: Members of a bucket on either side that one task compares with each other at most; larger buckets are dealt out in a grid.
+CELL = 1_000
 #: Links that one task solves at most, in some 100 MB. More are contracted by joins.
 MOST_IN_TASK = 1_000_000
 
@@ -96,8 +98,11 @@ def linked(
     join_filter: Callable[[], Column],
     screen: Callable[[DataFrame], DataFrame] | None = None,
     alive: Callable[[], Column] | None = None,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
+    decided: bool = False,
     stars: int = 2,
     most_rounds: int = 8,
+    cheap: int = CHEAP,
     most_in_task: int = MOST_IN_TASK,
 ) -> DataFrame:
     """Components of all verified links between members of a bucket, without emitting a bucket's pairs.
@@ -108,6 +113,8 @@ def linked(
     Star rounds compare each bucket's pivot with the members outside the pivot's component, which
     merges a group of near copies in time linear in its size. Then, in each bucket, only the
     members outside its largest component matter: each link still unknown has one of them.
+    decided: join_filter, on what screen gives, is met by links only, so that the last join needs no verify.
+    likely: pairs (a, b) -> those that meet join_filter, for pairs of which that isn't known; without it verify sees to that.
     screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
     pairs left are few against the members, all are verified, so the result equals that of
@@ -134,6 +141,7 @@ def linked(
             if screen is not None:
                 if not screened:
                     attributes, screened = cut(screen(at.select("id", "label").distinct()), "screened"), True
+            if alive is not None:
                 facts = at.join(attributes.select("id", "n", "shared"), "id")
                 least = facts.groupBy("key").agg(F.min("n").alias("n_lo"))
                 facts = facts.join(least, "key").where((F.col("label") == F.col("la")) | alive())
@@ -142,27 +150,41 @@ def linked(
             left = counts.select(F.sum(F.col("n") * F.col("out"))).first()[0] or 0
             if left == 0:
                 return labels
-            if left <= CHEAP * size or stale >= 2 or turn == most_rounds - 1:
+            if left <= cheap * size or stale >= 2 or turn == most_rounds - 1:
                 break
             pairs = at.where("label <> la")
-        found = cut(verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()), "links")
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        found = cut(verify(likely(pairs) if likely else pairs), "links")
         if labels is not None and found.isEmpty():
             stale += 1
             continue
         stale = 0
         links = found if links is None else links.union(found)
         labels = components(links, most_in_task)
-    busy = at.where("label <> la").select("key").distinct()
-    at = at.join(busy, "key", "left_semi")
-    out = at.where("label <> la").select("key", F.col("key").alias("l_key"), *(F.col(c).alias(f"l_{c}") for c in ("id", "label")))
-    out = out.join(attributes.select(*(F.col(c).alias(f"l_{c}") for c in attributes.columns)), "l_id")
-    every = at.select("key", F.col("label").alias("r_label"), F.col("id").alias("r_id"), (F.col("label") == F.col("la")).alias("r_top"))
-    every = every.join(attributes.select(*(F.col(c).alias(f"r_{c}") for c in attributes.columns)), "r_id")
+    out, every = dealt(at, counts, attributes)
     once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
-    pairs = out.join(every, (out["key"] == every["key"]) & once & join_filter())
-    found = cut(verify(pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()), "links")
+    pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter())
+    pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+    found = cut(pairs if decided else verify(pairs), "links")
     return labels if found.isEmpty() else components(links.union(found), most_in_task)
 
 
+def dealt(at: DataFrame, counts: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members outside their bucket's top label, and all members, so that each of the first meets each of the second once.
+
+    A bucket of many members is a grid of cells of CELL members a side: one of the first stands in
+    each cell of its row, one of the second in each of its column.
+    """
+    parts = [F.ceil(F.col(c) / CELL).cast("int").alias(p) for c, p in (("out", "rows"), ("n", "columns"))]
+    at = at.join(counts.where("out > 0").select("key", *parts), "key")
+    row, column = F.pmod(F.xxhash64("id", F.lit("row")), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id", F.lit("column")), F.col("columns")).cast("int")
+    facts = {p: attributes.select(*(F.col(c).alias(f"{p}_{c}") for c in attributes.columns)) for p in "lr"}
+    cells = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.col("rows") * c + row)
+    out = at.where("label <> la").select(F.col("key").alias("l_key"), F.col("label").alias("l_label"), F.col("id").alias("l_id"), F.explode(cells).alias("l_cell"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.col("rows") * column + r)
+    every = at.select(F.col("key").alias("r_key"), F.col("label").alias("r_label"), F.col("id").alias("r_id"), (F.col("label") == F.col("la")).alias("r_top"), F.explode(cells).alias("r_cell"))
+    return out.join(facts["l"], "l_id"), every.join(facts["r"], "r_id")
+
+
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))

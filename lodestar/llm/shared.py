@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import mmap
 import os
+import re
 import sys
 import tempfile
 import types
@@ -16,15 +18,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, a new one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets one of its own, any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -36,27 +40,48 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a working table that nothing will read again."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove working tables of cut or small that nothing will read again, and have Spark clear the shuffles that led to them."""
+    for path in {getattr(df, "working_path", None) for df in tables} - {None}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    spark._jvm.System.gc()  # what is no longer referred to has its shuffle files removed
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """df, and that it reads the working table at path."""
+    df.working_path = path
+    return df
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once and read again: its lineage ends at the written table."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
-#: Rows of ids or terms that a join sends to all workers at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes on disk of ids or terms that a join sends to all workers at most; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, written and, if its count allows it, marked for broadcast. It must be a narrow table of ids or terms."""
-    df = cut(df, "wanted")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, written and, if its rows and bytes allow it, marked for broadcast."""
+    spark, df = df.sparkSession, cut(df, "wanted")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(df.working_path)
+    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    if size <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS:
+        return stored_at(F.broadcast(df), df.working_path)
+    return df
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that is none of those taken, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def text_or_empty(col: str | Column) -> Column:

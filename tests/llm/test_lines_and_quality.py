@@ -1,11 +1,11 @@
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestar.llm.line_dedup import DISTANCE, SIMILARITY, dedup_lines
+from lodestar.llm.line_dedup import block_keys, dedup_lines, half_keys, simhashes
 from lodestar.llm.quality import clean_lines
 
 
@@ -15,12 +15,6 @@ def words(line):
     return [w.lower() for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
 
 
-def simhash(ws):
-    h = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(ws)], np.uint64)
-    bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
-    return sum(1 << i for i in range(64) if 2 * int(bits[i]) > len(h))
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -38,7 +32,6 @@ def brute(rows):
             if ws := words(line):
                 seen.setdefault(" ".join(ws), []).append((i, p))
     keys = list(seen)
-    sims = [simhash(k.split()) for k in keys]
     parent = list(range(len(keys)))
 
     def find(x):
@@ -50,7 +43,7 @@ def brute(rows):
         for j in range(i):
             a, b = keys[i].split(), keys[j].split()
             most = max(len(a), len(b))
-            if bin(sims[i] ^ sims[j]).count("1") <= DISTANCE and min(len(a), len(b)) >= SIMILARITY * most and distance(a, b) <= int((1 - SIMILARITY) * most + 1e-9):
+            if min(len(a), len(b)) >= 0.8 * most and distance(a, b) <= int(0.2 * most + 1e-9):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     kept = {}
@@ -78,16 +71,59 @@ def test_lines_equal_brute_force(docs):
     assert sum(r["n_lines_removed"] for r in out.values()) > 20
 
 
-def test_lines_of_three_differing_bits_link(docs):
-    rng, found = random.Random(7), {}
-    while len(found) < 5:
-        line = [f"w{rng.randrange(400)}" for _ in range(30)]
-        near = [*line[:-1], f"x{rng.randrange(10**6)}"]
-        if bin(simhash(line) ^ simhash(near)).count("1") == 3:
-            found[len(found)] = (" ".join(line), " ".join(near))
-    rows = [(2 * i + k, line) for i, pair in found.items() for k, line in enumerate(pair)]
-    out = {r["doc_id"]: r["n_lines_removed"] for r in dedup_lines(docs(rows)).collect()}
-    assert out == {i: i % 2 for i in range(10)}
+def plain_simhash(ws):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ws]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))  # ties go to 0
+
+
+def test_simhash_of_lines_of_any_length(spark):
+    rng = random.Random(7)
+    lines = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (1, 2, 5, 80, 16_383, 16_384, 40_000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, words array<string>")
+    assert {r["id"]: (r["size"], r["sim"] % 2**64) for r in simhashes(df).collect()} == {i: (len(x), plain_simhash(x)) for i, x in enumerate(lines)}
+
+
+def some_word(rng):
+    return "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+
+
+def edited(rng, line, share):
+    near = list(line)
+    for _ in range(max(1, int(share * len(line) + 1e-9))):
+        at, kind = rng.randrange(len(near)), rng.choice("rrrid")
+        near[at : at + (kind != "i")] = [] if kind == "d" and len(near) > 4 else [some_word(rng)]
+    return near
+
+
+@pytest.mark.parametrize("least, most, share, recall", [(5, 9, 0.2, 1), (10, 14, 0.1, 0.98), (10, 14, 0.2, 0.84), (15, 24, 0.2, 0.92), (25, 80, 0.1, 0.99), (25, 80, 0.2, 0.97)])
+def test_edited_lines_share_a_key(spark, least, most, share, recall):
+    rng, rows = random.Random(most), []
+    for _ in range(400):
+        line = [some_word(rng) for _ in range(rng.randrange(least, most + 1))]
+        rows.append((line, edited(rng, line, share)))
+    lines = spark.createDataFrame([(2 * i + k, line) for i, pair in enumerate(rows) for k, line in enumerate(pair)], "line long, words array<string>")
+    keys = {i: set() for i in range(2 * len(rows))}
+    blocks = block_keys(lines).where("key is not null").select("line", "key")
+    for r in blocks.union(lines.select("line", F.explode(half_keys(F.col("words"))))).collect():
+        keys[r["line"]].add(r["key"])
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(rows))) >= recall * len(rows)
+
+
+def test_lines_near_and_far(docs):
+    rng = random.Random(9)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    six, seven = ([*line[:10], *(f"x{i}" for i in range(k)), *line[10 + k :]] for k in (6, 7))
+    long = [f"w{rng.randrange(10**6)}" for _ in range(17_000)]
+    texts = [line, six, seven, long, [*long[:8000], "other", *long[8000:]], ["one", "two", "three", "four"], ["one", "two", "three", "four", "five"], ["one", "two", "three"]]
+    out = {r["doc_id"]: r["n_lines_removed"] for r in dedup_lines(docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert out == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0}  # the third is near the second
+
+
+def test_columns_may_have_any_name(docs):
+    names = ("row", "gone", "line", "key", "size", "keys", "at", "pos", "row_", "n_lines")
+    df = docs([(1, "a b c d e f\nx"), (2, "A b c d e f")]).select("doc_id", "text", *(F.lit(7).alias(c) for c in names))
+    out = dedup_lines(df).collect()
+    assert {r["doc_id"]: (r["text"], r["row"], r["gone"], r["n_lines"]) for r in out} == {1: ("a b c d e f\nx", 7, 7, 2), 2: ("", 7, 7, 1)}
 
 
 def test_odd_lines(odd, empty, docs):
