@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop
 
 #: Pairs a member that a join may look at, which costs little, as its condition keeps nearly none.
 CHEAP = 200
@@ -99,7 +99,6 @@ def linked(
     screen: Callable[[DataFrame], DataFrame] | None = None,
     alive: Callable[[], Column] | None = None,
     likely: Callable[[DataFrame], DataFrame] | None = None,
-    decided: bool = False,
     stars: int = 2,
     most_rounds: int = 8,
     cheap: int = CHEAP,
@@ -113,7 +112,6 @@ def linked(
     Star rounds compare each bucket's pivot with the members outside the pivot's component, which
     merges a group of near copies in time linear in its size. Then, in each bucket, only the
     members outside its largest component matter: each link still unknown has one of them.
-    decided: join_filter, on what screen gives, is met by links only, so that the last join needs no verify.
     likely: pairs (a, b) -> those that meet join_filter, for pairs of which that isn't known; without it verify sees to that.
     screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
@@ -155,17 +153,19 @@ def linked(
             pairs = at.where("label <> la")
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         found = cut(verify(likely(pairs) if likely else pairs), "links")
+        drop(members.sparkSession)  # the shuffles of this round
         if labels is not None and found.isEmpty():
             stale += 1
             continue
         stale = 0
         links = found if links is None else links.union(found)
         labels = components(links, most_in_task)
+        drop(members.sparkSession)
     out, every = dealt(at, counts, attributes)
     once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
     pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter())
     pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-    found = cut(pairs if decided else verify(pairs), "links")
+    found = cut(verify(pairs), "links")
     return labels if found.isEmpty() else components(links.union(found), most_in_task)
 
 
