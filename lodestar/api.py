@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import facts as fact_ops
 from lodestar.operators.generation import answers
-from lodestar.operators.retrieval import CANDIDATES, attach, bm25, hybrid, nearest, rerank
+from lodestar.operators.retrieval import CANDIDATES, attach, bm25, hybrid, matches, nearest, request_filters, rerank
 from lodestar.operators.route import classify
 
 MIN_QUESTION, MAX_QUESTION, MOST_ASKED, MOST_SEARCHED = 3, 1000, 20, 50
@@ -35,20 +35,29 @@ class Engine:
         return classify(checked(questions))
 
     def search(self, questions: DataFrame, k: int = 10, filters: Mapping[str, object] | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, rank, fields) of the hybrid search, reranked if there is a scorer."""
+        """(query_id, chunk_id, score, rank, fields) of the hybrid search, reranked if there is a scorer.
+
+        filters bound both lists by fields of the corpus; vectors need not have these.
+        """
         if not 1 <= k <= MOST_SEARCHED:
             raise ValueError(f"k must be from 1 to {MOST_SEARCHED}")
         asked = checked(questions).select("query_id", F.col("question").alias("text"))
         lexical = bm25(asked, self.corpus, CANDIDATES, filters)
-        dense = nearest(self.encode(asked), self.vectors, CANDIDATES, filters)
+        vectors = self.vectors
+        if filters:
+            vectors = vectors.join(self.corpus.where(matches(filters)).select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        dense = nearest(self.encode(asked), vectors, CANDIDATES)
         found = hybrid(lexical, dense, CANDIDATES if self.scorer else k)
         if self.scorer:
             found = rerank(found, lambda c: self.scorer(attach(c.join(asked.withColumnRenamed("text", "question"), "query_id"), self.corpus, "text")), k)
             found = found.select("query_id", "chunk_id", "score", "rank")
         return attach(found, self.corpus, *PASSAGE)
 
-    def ask(self, questions: DataFrame, k: int = 6) -> DataFrame:
-        """Each question with its route and answer. The route's facts come first; a miss falls through to the search."""
+    def ask(self, questions: DataFrame, k: int = 6, company: str | None = None, filing_type: str | None = None) -> DataFrame:
+        """Each question with its route and answer. The route's facts come first; a miss falls through to the search.
+
+        company (in either case) and filing_type bound the search; empty ones don't.
+        """
         if not 1 <= k <= MOST_ASKED:
             raise ValueError(f"k must be from 1 to {MOST_ASKED}")
         routed = self.route(questions)
@@ -57,7 +66,7 @@ class Engine:
         told = F.concat("concept", F.lit(" of "), "company", F.lit(" for "), F.col("fiscal_year").cast("string"), F.lit(": "), "formatted_value")
         exact = found.select("query_id", F.lit("structured").alias("route"), told.alias("answer"), F.array("source_url").alias("sources"), F.lit(False).alias("refused"))
         rest = routed.join(found.select("query_id"), "query_id", "left_anti")
-        hits = self.search(rest, k)
+        hits = self.search(rest, k, request_filters(company, filing_type))
         passages = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *PASSAGE, "chunk_id"))), lambda x: x.dropFields("rank")).alias("passages"))
         written = answers(rest.join(passages, "query_id", "left"), self.generate)
         said = written.select("query_id", F.lit("semantic").alias("route"), "answer", F.transform("citations", lambda c: c["chunk_id"].cast("string")).alias("sources"), "refused")

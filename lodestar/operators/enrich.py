@@ -39,11 +39,12 @@ def enrich(chunks: DataFrame, limit: int = ROLLUP) -> DataFrame:
     return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in chunks.columns), done.alias("enriched"))
 
 
-def indexable(enriched: DataFrame, kinds: list[str] | None = None, done: DataFrame | None = None, least: int = MIN_INDEXED) -> DataFrame:
-    """Chunks to index: of the kinds, no empty section, long enough, not in done (chunk_id)."""
+def indexable(enriched: DataFrame, kinds: list[str] | None = None, done: DataFrame | None = None, least: int = MIN_INDEXED, most: int | None = None) -> DataFrame:
+    """Chunks to index: of the kinds, no empty section, long enough, not in done (chunk_id); most of them where a run is to be short."""
     out = enriched if kinds is None else enriched.where(F.col("chunk_type").isin(kinds))
     out = out.where(F.coalesce("enriched", F.lit(True)) & (F.length(strip("text")) >= least))
-    return out if done is None else out.join(done.select("chunk_id"), "chunk_id", "left_anti")
+    out = out if done is None else out.join(done.select("chunk_id"), "chunk_id", "left_anti")
+    return out if most is None else out.limit(most)
 
 
 def index_document(chunks: DataFrame, embedding: Column | None = None) -> DataFrame:

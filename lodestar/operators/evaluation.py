@@ -51,6 +51,29 @@ def unmatched(one: DataFrame, two: DataFrame, *on: str) -> DataFrame:
     return one.select(*on).exceptAll(two.select(*on))
 
 
+def arm_problems(runs: DataFrame, base: str = "bm25") -> DataFrame:
+    """(check, arm, other, n): ways in which arms of a comparison don't fit together; none if they do.
+
+    runs (arm, index, split, retriever, query_id, rank, chunk_id). Arms must have indexes of their
+    own, the same questions in each split, and the same lists from the retriever that no arm changes.
+    """
+    arms = runs.select("arm", "index").distinct()
+    two = lambda df, *on: df.join(df.withColumnRenamed("arm", "other"), list(on)).where("arm < other")
+    shared = two(arms, "index").groupBy("arm", "other").agg(F.count("*").alias("n")).select(F.lit("same index").alias("check"), "arm", "other", "n")
+    names = arms.select("arm").distinct()
+
+    def differing(rows: DataFrame, check: str) -> DataFrame:
+        """Rows that one arm has and another lacks."""
+        on = [c for c in rows.columns if c != "arm"]
+        each = rows.distinct().join(F.broadcast(names.withColumnRenamed("arm", "other")), F.col("arm") != F.col("other"))
+        lacking = each.join(rows.distinct().withColumnRenamed("arm", "other"), ["other", *on], "left_anti")
+        return lacking.groupBy("arm", "other").agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "arm", "other", "n")
+
+    found = differing(runs.select("arm", "split", "query_id"), "questions")
+    lists_of = differing(runs.where(F.col("retriever") == base).select("arm", "split", "query_id", "rank", "chunk_id"), f"{base} lists")
+    return shared.unionByName(found).unionByName(lists_of)
+
+
 def extraction(expected: DataFrame, facts: DataFrame) -> DataFrame:
     """expected (eval_id, concept, accession_number, expected_value, kind) with the nearest value found and passed."""
     found = expected.join(facts.select("concept", "accession_number", "value"), ["concept", "accession_number"])
@@ -118,10 +141,10 @@ def chart_rubric(graded: DataFrame, criteria: tuple[str, ...] = ("chart_type_cor
 def verification_note(verified: Column, total: Column) -> Column:
     """What must be said under numbers whose labels no one checked; null where all are."""
     some = F.concat(
-        F.lit("NOTE: "), verified.cast("string"), F.lit(" of "), total.cast("string"),
-        F.lit(" eval entries are human-verified; the rest were drafted automatically from sampled chunks. Numbers over the unverified remainder are provisional."),
+        verified.cast("string"), F.lit(" of "), total.cast("string"),
+        F.lit(" questions were reviewed by a person; the others are machine drafts, so figures that rest on them may move."),
     )
-    none = F.lit("NOTE: no eval entries are human-verified — every question was drafted automatically from a sampled chunk. Numbers are provisional until a sample is checked.")
+    none = F.lit("Nobody has read these questions over yet: all of them are machine drafts, and the figures may move once some are reviewed.")
     return F.when((total > 0) & (verified >= total), None).when(verified == 0, none).otherwise(some)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,49 @@ def contract(vectors: DataFrame, dims: int, embedding: str = "embedding") -> Dat
     return vectors.agg(F.count("*").alias("n"), wrong.alias("wrong_dims"), F.round(error, 6).alias("max_norm_error"), ((wrong == 0) & (error <= NORM_ERROR)).alias("ok"))
 
 
+def sides_apart(queries: DataFrame, passages: DataFrame, key: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(n, max_cosine, ok) of texts encoded both as queries and as passages: an encoder that gives both the same lost its prefix."""
+    both = queries.select(key, embedding).join(passages.select(key, F.col(embedding).alias("other")), key)
+    most = F.max(dot(embedding, "other") / (norm(embedding) * norm("other")))
+    return both.agg(F.count("*").alias("n"), F.round(most, 6).alias("max_cosine"), F.coalesce(most < OWN_COSINE, F.lit(False)).alias("ok"))
+
+
+def measure_point(search: Callable[[DataFrame], DataFrame], queries: DataFrame, exact: DataFrame, k: int, repeats: int = 3, warm_up: int = 8) -> dict[str, object]:
+    """One point of an ANN curve: search (queries -> query_id, chunk_id, rank) after a warm-up, repeats times over all queries.
+
+    recall is against exact, n_exact counts the lists that equal it, and deterministic says whether
+    all repeats gave the same lists. Queries run as a set, so ms are of a whole pass by the query.
+    """
+    if repeats < 1:
+        raise ValueError("a point needs one repeat at least")
+    n = queries.count()
+    search(queries.limit(warm_up)).count()
+    passes, prints = [], set()
+    for _ in range(repeats):
+        started = time.perf_counter()
+        one = lists(search(queries).where(F.col("rank") <= k), "query_id").agg(F.count("*"), F.sum(F.xxhash64("query_id", "ids").cast("decimal(20,0)"))).first()
+        passes.append(1000 * (time.perf_counter() - started) / max(n, 1))
+        prints.add(tuple(one))
+    found, truth = search(queries), exact.where(F.col("rank") <= k)
+    recalls = ann_recall(truth, found, k).agg(F.avg("recall").alias("mean"), F.min("recall").alias("least")).first()
+    same = lists(truth, "query_id").join(lists(found.where(F.col("rank") <= k), "query_id").withColumnRenamed("ids", "other"), "query_id").where(F.col("ids") == F.col("other"))
+    return {"k": k, "n": n, "recall": recalls["mean"], "recall_min": recalls["least"], "n_exact": same.count(), "ms": passes, "deterministic": len(prints) == 1}
+
+
+def justification(chosen: Mapping[str, float], default: Mapping[str, float], target: float = TARGET_RECALL) -> str:
+    """Why a point (ef, recall, p95) was taken rather than the default, from the figures alone."""
+    if chosen["ef"] == default["ef"]:
+        why = f"The default stays: recall {chosen['recall']:.3f}, p95 {chosen['p95']:.1f} ms"
+    else:
+        why = f"ef {chosen['ef']} has recall {chosen['recall']:.3f} for {default['recall']:.3f}, p95 {chosen['p95']:.1f} ms for {default['p95']:.1f} ms"
+    return why + (f"; the target of {target:.2f} is met." if chosen["recall"] >= target else f"; no point meets the target of {target:.2f}, this one comes nearest.")
+
+
+def identity_problems(expected: Mapping[str, object], reported: Mapping[str, object]) -> list[str]:
+    """Each way in which a service's profile, model or index is another than expected."""
+    return [f"{part}: {reported.get(part)!r} is served, {want!r} was asked for" for part, want in expected.items() if reported.get(part) != want]
+
+
 def degradation(base: Column, other: Column) -> Column:
     return F.round(other - base, 4)
 

@@ -18,6 +18,8 @@ RRF_K, LEXICAL_WEIGHT, DENSE_WEIGHT, CANDIDATES = 60, 1.0, 0.25, 50
 K1, B = 1.2, 0.75
 #: Bytes of query vectors that are sent to all workers at once; more are searched in blocks.
 QUERY_BYTES = 64_000_000
+#: Hits that a task holds beside the best k of each query before it drops the others.
+BATCH_ROWS = 100_000
 
 
 def matches(filters: Mapping[str, object] | None) -> Column:
@@ -39,13 +41,25 @@ def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def nearest_in_batches(held, k: int, exclude_self: bool, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
+        out, size = [], 0
+
+        def best() -> list[np.ndarray]:
+            """The k best of each query so far."""
+            q, own, score = (np.concatenate(c) for c in zip(*out, strict=True))
+            order = np.lexsort((own, -score, q))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0]))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            return [c[order[place < k]] for c in (q, own, score)]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            scores = np.round(matrix @ flat.T, digits)
-            out = []
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            widths = np.diff(batch.column(1).offsets.to_numpy())
+            if (widths != matrix.shape[1]).any() or np.isnan(flat).any():
+                raise ValueError(f"vectors must have {matrix.shape[1]} numbers, as those of the queries have")
+            scores = np.round(matrix @ flat.reshape(len(own), -1).T, digits)
             for q, row in zip(ids, scores, strict=True):
                 if exclude_self:
                     row = np.where(own == q, -np.inf, row)
@@ -55,7 +69,12 @@ def nearest_in_batches(held, k: int, exclude_self: bool, digits: int):
                 if len(at) > k:
                     at = at[np.lexsort((own[at], -row[at]))[:k]]
                 out.append((np.full(len(at), q), own[at], row[at]))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                size += len(at)
+            if size > 4 * k * len(ids) + BATCH_ROWS:
+                out = [best()]
+                size = len(out[0][0])
+        if out:
+            columns = best()
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
     return run
@@ -65,7 +84,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str,
     """Exact k-NN by cosine of unit vectors: queries and corpus are (id long, embedding).
 
     Filters apply before the search, so k results meet them. Query vectors are sent out in blocks of
-    a checked size, every block meets every row once, and each batch hands on k rows a query.
+    a checked size, every block meets every row once, and each task hands on k rows a query. Vectors of
+    another width, or with null elements, are an error; scores are rounded first, so that equal vectors tie.
     """
     spark = corpus.sparkSession
     rows = corpus.where(matches(filters)).select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null")

@@ -61,17 +61,15 @@ def contaminated(questions: DataFrame, held_out: DataFrame, key: str = "query_id
 
     Word sets meet over an inverted index, but only on the words of their prefixes: two sets of that
     overlap share one of the first n - ceil(threshold n) + 1 words in any one order, here the
-    rarest first. So no pair without a chance is made, and frequent words make none.
+    longest first, as these are the rarest. Each row sorts its own words, and only prefixes are dealt out.
     """
     a = questions.select(key, question_key(text).alias("own"))
     b = held_out.select(question_key(text).alias("other")).where(F.size("other") > 0).distinct()
-    counts = b.select(F.explode("other").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, words: str) -> DataFrame:
-        long = df.select("*", F.explode(words).alias("w")).join(small(counts), "w", "left")
-        order = Window.partitionBy(words, *(c for c in df.columns if c != words)).orderBy(F.coalesce("n", F.lit(0)), "w")
-        n = F.size(words) - F.ceil(F.lit(threshold) * F.size(words) - 1e-9) + 1
-        return long.withColumn("_i", F.row_number().over(order)).where((F.col("_i") <= n) & F.col("n").isNotNull()).drop("_i", "n")
+        ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+        n = (F.size(words) - F.ceil(F.lit(threshold) * F.size(words) - 1e-9) + 1).cast("int")
+        return df.where(F.size(words) > 0).select("*", F.explode(F.slice(ordered, F.lit(1), n)["w"]).alias("w"))
 
     pairs = prefix(a, "own").join(prefix(b, "other"), "w").select(key, "own", "other").distinct()
     both = F.size(F.array_intersect("own", "other"))

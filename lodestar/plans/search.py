@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.joins import small
-from lodestar.functions.text import let, words
+from lodestar.functions.text import words
 from lodestar.operators import evaluation, lsh, metrics, retrieval
 from lodestar.operators.stemming import english
 from lodestar.plans.registry import query, table
 
 WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEPTHS = (10, 25, 50, 100)
+#: Words that make the key of a search for an item's text.
+WINDOW = 8
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -44,23 +46,32 @@ def dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, chunk_id) where the document holds the item's text.
 
-    Such a document has the item's inner words, which white space parts on both sides, in a row; up
-    to eight of them are the key of a join, and the text decides.
+    Such a document has the item's inner words, which white space parts on both sides, in a row; the
+    hash of up to eight of them is the key of a join, and the text decides. Items of fewer than three
+    words, which have no inner ones, are looked for in every text.
     """
     split = F.array_remove(F.split("text", r"\s+"), "")
-    items = questions(spark, d).withColumn("w", split).where(F.size("w") >= 3)
-    items = items.select("query_id", F.col("text").alias("item"), F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(8))).alias("inner"))
-    items = items.withColumns({"n": F.size("inner"), "key": F.array_join("inner", " ")})
-    lengths = [r["n"] for r in items.select("n").distinct().collect()]  # 8 values at most
-    docs = corpus(spark, d).withColumn("w", split)
-
-    def windows(n: int) -> Column:
-        return let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-
-    grams = F.flatten(F.array(*map(windows, lengths)))
-    hits = docs.select("chunk_id", F.explode(F.array_distinct(grams)).alias("key")).join(small(items.select("query_id", "key")), "key")
-    pairs = hits.select("query_id", "chunk_id").distinct()
-    return pairs.join(items.select("query_id", "item"), "query_id").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
+    asked = questions(spark, d).withColumnRenamed("text", "item").withColumn("w", F.array_remove(F.split("item", r"\s+"), ""))
+    n = F.least(F.size("w") - 2, F.lit(WINDOW))
+    items = asked.where(F.size("w") >= 3).select("query_id", "item", n.alias("n"), F.slice("w", F.lit(2), n).alias("inner"))
+    items = items.select("query_id", "item", "n", window_key(F.col("inner"), F.lit(0), F.col("n")).alias("key"))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # WINDOW values at most
+    docs = corpus(spark, d)
+    # words as rows, so that windows are hashed in compiled code
+    places = docs.select("chunk_id", split.alias("w")).select("chunk_id", "w", F.posexplode("w").alias("i", "_"))
+    keys = F.array(*(F.when(F.col("i") + n <= F.size("w"), window_key(F.col("w"), F.col("i"), F.lit(n))) for n in lengths)).cast("array<bigint>")
+    hits = places.select("chunk_id", F.explode(keys).alias("key")).join(small(items.select("query_id", "key")), "key")
+    pairs = hits.select("query_id", "chunk_id").distinct().join(small(items.select("query_id", "item")), "query_id")
+    found = pairs.join(docs.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
+    short = asked.where(F.size("w") < 3).select("query_id", "item")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(small(short), F.contains("text", F.col("item"))).select("query_id", "chunk_id"))
+
+
+def window_key(words: Column, at: Column, n: Column) -> Column:
+    """A hash of the n words from a place on, at most WINDOW."""
+    return F.xxhash64(n, *(F.when(n > k, F.get(words, at + k)) for k in range(WINDOW)))
 
 
 BM25_SQL = r"""
@@ -299,21 +310,33 @@ SELECT * FROM (SELECT query_id, depth, chunk_id, s AS score, score AS retrieval_
 
 @query(rerank_sql())
 def rerank_surrogate(spark, d):
-    """A share of query words stands for the cross-encoder; each depth cuts the candidates before they are scored."""
+    """A share of query words stands for the cross-encoder. A pair is scored once; each depth then ranks its first candidates."""
 
     def coverage(candidates: DataFrame) -> DataFrame:
         q, t = F.array_distinct(words("question")), F.array_distinct(words("text"))
         asked = questions(spark, d).withColumnRenamed("text", "question").withColumnRenamed("query_id", "q_id")
-        joined = candidates.join(asked, F.col("query_id.query_id") == F.col("q_id")).join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
+        joined = candidates.join(asked, F.col("query_id") == F.col("q_id")).join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
         return joined.withColumn("new_score", F.round(F.size(F.array_intersect(q, t)) / F.size(q), 6)).drop("question", "text", "q_id")
 
     lex = retrieval.bm25(questions(spark, d), corpus(spark, d), 100)
-    at_depth = lex.select("*", F.explode(F.array(*map(F.lit, DEPTHS))).alias("depth")).where("rank <= depth")
-    keyed = at_depth.select(F.struct("query_id", "depth").alias("query_id"), "chunk_id", "score", "rank")
-    out = retrieval.rerank(keyed, coverage, 10)
+    new = coverage(lex.withColumnRenamed("score", "retrieval_score"))
+    at_depth = new.select("*", F.explode(F.array(*map(F.lit, DEPTHS))).alias("depth")).where("rank <= depth")
+    keyed = at_depth.select(F.struct("query_id", "depth").alias("query_id"), "chunk_id", F.col("retrieval_score").alias("score"), "new_score", "rank")
+    out = retrieval.rerank(keyed, lambda candidates: candidates, 10)
     return out.select("query_id.query_id", "query_id.depth", "chunk_id", "score", "retrieval_score", "rank")
 
 
+@query(
+    f"""WITH lists AS (SELECT query_id, 'depth ' || depth AS retriever, rank, chunk_id FROM ({rerank_sql()})), names AS (SELECT unnest(['depth 10', 'depth 25', 'depth 50', 'depth 100']) AS retriever),
+{LABEL_SQL}, {metrics_sql('lists', 'names')} SELECT retriever, count(*) AS n_queries, {MEANS} FROM scored GROUP BY retriever"""
+)
+def rerank_depth_metrics(spark, d):
+    """What each depth of candidates is worth after reranking."""
+    found = rerank_surrogate(spark, d).select("query_id", F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("retriever"), "rank", "chunk_id")
+    names = spark.createDataFrame([(f"depth {n}",) for n in DEPTHS], "retriever string")
+    return metrics.averaged(metrics.per_query(found, relevant(spark, d), names))
+
+
 @query()
 def bm25_stemmed(spark, d):
     """With stop words and stems, which SQL lacks."""

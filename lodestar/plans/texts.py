@@ -12,7 +12,7 @@ from lodestar.sources.files import padded_cik, submissions
 #: (id, question, expected route)
 QUESTIONS = [
     (1, "What was Columbia Banking's net income in 2023?", "structured"),
-    (2, "Why did Columbia's net income fall in 2023?", "semantic"),
+    (2, "Why was Columbia's net income lower in 2023 than before?", "semantic"),
     (3, "Total deposits of Glacier Bancorp for FY2022", "structured"),
     (4, "Net interest income of WesBanco FY 2021?", "structured"),
     (5, "What was net income in 2023?", "semantic"),
@@ -270,8 +270,8 @@ def specificity(spark, d):
 
 
 @query(
-    """SELECT lang, count(*) FILTER (quality = 1) AS verified, count(*) AS total, CASE WHEN count(*) FILTER (quality = 1) >= count(*) THEN NULL WHEN count(*) FILTER (quality = 1) = 0 THEN 'NOTE: no eval entries are human-verified — every question was drafted automatically from a sampled chunk. Numbers are provisional until a sample is checked.'
-  ELSE 'NOTE: ' || count(*) FILTER (quality = 1) || ' of ' || count(*) || ' eval entries are human-verified; the rest were drafted automatically from sampled chunks. Numbers over the unverified remainder are provisional.' END AS note FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+    """SELECT lang, count(*) FILTER (quality = 1) AS verified, count(*) AS total, CASE WHEN count(*) FILTER (quality = 1) >= count(*) THEN NULL WHEN count(*) FILTER (quality = 1) = 0 THEN 'Nobody has read these questions over yet: all of them are machine drafts, and the figures may move once some are reviewed.'
+  ELSE count(*) FILTER (quality = 1) || ' of ' || count(*) || ' questions were reviewed by a person; the others are machine drafts, so figures that rest on them may move.' END AS note FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
 )
 def verification_notes(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")

@@ -98,6 +98,11 @@ def create_index(spark: SparkSession, path: str, schema, recreate: bool = False)
     spark.createDataFrame([], schema).write.mode("overwrite" if recreate else "ignore").parquet(path)
 
 
+def index_count(spark: SparkSession, path: str) -> int:
+    """The rows of an index as it is now; 0 where there is none."""
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
 def copy_index(source: DataFrame, path: str, *columns: str) -> int:
     """Columns of an index under a new path; an error if rows are missing. Their number."""
     spark, n = source.sparkSession, source.count()

@@ -10,19 +10,38 @@ from lodestar import schemas
 from lodestar.operators.enrich import upserted
 from lodestar.sources.files import exists
 
+#: Versions that stay: the newest, and the one before it for those who read it still.
+VERSIONS_KEPT = 2
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of the index that were written to their end, ascending."""
+    if not exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
 
 def upsert_batch(path: str, key: str = "chunk_id"):
-    """foreachBatch function: the index is a series of versions, each complete; readers take the newest."""
+    """foreachBatch function: the index is a series of versions, each complete; readers take the newest.
+
+    A batch is upserted into the newest version, whatever its epoch, so one that runs again, or a new
+    checkpoint over an older index, changes nothing that was there. A later batch without any version is an error.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("version", F.lit(epoch).cast("long"))
-        current = f"{path}/v={epoch - 1}"
-        if epoch and exists(spark, current):
-            new = upserted(spark.read.parquet(current), new, key, "version")
-        else:
-            new = upserted(new.limit(0), new, key, "version")
-        new.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        known = versions(spark, path)
+        if epoch and not known:
+            raise ValueError(f"batch {epoch} finds no index of the batches before it at {path}")
+        version = known[-1] + 1 if known else 0
+        new = batch.withColumn("version", F.lit(version).cast("long"))
+        new = upserted(spark.read.parquet(f"{path}/v={known[-1]}") if known else new.limit(0), new, key, "version")
+        new.write.mode("overwrite").parquet(f"{path}/v={version}")
+        for old in known[: 1 - VERSIONS_KEPT]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return run
 
@@ -34,8 +53,8 @@ def index_stream(spark: SparkSession, source: str, path: str, checkpoint: str, s
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the index."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-    last = max(int(n[2:]) for n in names if n.startswith("v="))
-    return spark.read.parquet(f"{path}/v={last}").drop("version")
+    """The newest version of the index; an error where there is none."""
+    known = versions(spark, path)
+    if not known:
+        raise ValueError(f"no index at {path}")
+    return spark.read.parquet(f"{path}/v={known[-1]}").drop("version")
