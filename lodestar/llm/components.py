@@ -100,6 +100,8 @@ def linked(
     alive: Callable[[], Column] | None = None,
     likely: Callable[[DataFrame], DataFrame] | None = None,
     stars: int = 2,
+    hubs: bool = False,
+    pivots: int = 1,
     most_rounds: int = 8,
     cheap: int = CHEAP,
     most_in_task: int = MOST_IN_TASK,
@@ -111,7 +113,10 @@ def linked(
     on l_key, the bucket, that every link meets in some bucket.
     Star rounds compare each bucket's pivot with the members outside the pivot's component, which
     merges a group of near copies in time linear in its size. Then, in each bucket, only the
-    members outside its largest component matter: each link still unknown has one of them.
+    members outside its largest component matter: each link still unknown has one of them. Further
+    rounds compare these with that many pivots of the largest component.
+    hubs: the first pivots are the members that meet most others in all their buckets. Where copies were each edited by
+    themselves, that is the text they come from, which links with all of them, while they may not link with each other.
     likely: pairs (a, b) -> those that meet join_filter, for pairs of which that isn't known; without it verify sees to that.
     screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
@@ -119,18 +124,24 @@ def linked(
     verifying every pair; until then star rounds go on.
     """
     labels, links, stale, screened = None, None, 0, False
+    if hubs:
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        weights = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+        members = cut(members.join(weights, "id").select("key", "id", "weight"), "weighted-members")
     size = members.count()
     for turn in range(most_rounds):
         at = members.withColumn("label", F.col("id")) if labels is None else labelled(members, labels)
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.struct(-F.col("weight"), "id") if hubs else F.col("id")
         if turn < stars:
-            pivots = at.groupBy("key").agg(
+            heads = at.groupBy("key").agg(
                 F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "label"), order).alias("pivot")
             )
-            pivots = pivots.where("lo < hi").select("key", F.col("pivot.id").alias("a"), F.col("pivot.label").alias("la"))
-            pairs = at.join(pivots, "key").where("label <> la")
+            heads = heads.where("lo < hi").select("key", F.col("pivot.id").alias("a"), F.col("pivot.label").alias("la"))
+            pairs = at.join(heads, "key").where("label <> la")
         else:
-            groups = at.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("id", order).alias("a"))
+            slot = F.pmod(F.xxhash64("id", F.lit(turn), F.lit("slot")), F.lit(pivots))
+            groups = at.groupBy("key", "label", slot.alias("slot")).agg(F.count("*").alias("n"), F.min_by("id", order).alias("a"))
+            groups = groups.groupBy("key", "label").agg(F.sum("n").alias("n"), F.collect_list("a").alias("a"))  # pivots at most
             tops = groups.groupBy("key").agg(
                 F.count("*").alias("groups"), F.max_by(F.struct("label", "a"), F.struct("n", "label")).alias("top")
             )
@@ -150,7 +161,7 @@ def linked(
                 return labels
             if left <= cheap * size or stale >= 2 or turn == most_rounds - 1:
                 break
-            pairs = at.where("label <> la")
+            pairs = at.where("label <> la").withColumn("a", F.explode("a"))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         found = cut(verify(likely(pairs) if likely else pairs), "links")
         drop(members.sparkSession)  # the shuffles of this round

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, text_or_empty
+from .shared import fresh, small, text_or_empty
 
 Q = 8
 #: Edits a passage may have, as a share of the item's characters.
@@ -46,21 +46,23 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 
 
 def budget(length: int) -> int:
-    """Edits an item may have; short items have fewer, so that some q-gram is shared for certain."""
-    return max(0, min(int(EDITS * length), (length - Q) // Q))
+    """Edits that a passage of an item may have."""
+    return int(EDITS * length)
 
 
 class Items:
-    """The items of a block with their q-grams, sorted."""
+    """The items of a block with their q-grams, sorted; short ones, whose passages may share no q-gram, apart."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.fold = folding()
-        self.ids, self.codes = [], []
+        self.ids, self.codes, self.short = [], [], []
         for i, text in items:
             text = text or ""
             lead = len(text) - len(text.lstrip())
             codes = code_points(text.strip(), self.fold) if lead < len(text) else np.empty(0, np.uint32)
-            if len(codes) >= Q:
+            if len(codes) and budget(len(codes)) > (len(codes) - Q) // Q:
+                self.short.append((i, codes, budget(len(codes))))
+            elif len(codes):
                 self.ids.append(i)
                 self.codes.append(codes)
         self.length = np.array([len(c) for c in self.codes], np.int64)
@@ -159,6 +161,19 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(row[end]), int(start[end]), end + low + len(item)
 
 
+def everywhere(item: np.ndarray, text: np.ndarray, most: int, base: int = 0) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of all places of an item in a text, the best first, then those beside it."""
+    out, left = [], [(text, base)]
+    while left:
+        part, at = left.pop()
+        hit = align(item, part, 0, len(part) - len(item), most) if len(part) >= len(item) - most else None
+        if hit:
+            edits, start, end = hit
+            out.append((edits, at + start, at + end))
+            left += [(part[end:], at + end), (part[:start], at)]
+    return out
+
+
 def searcher(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(held.value)
@@ -179,7 +194,11 @@ def searcher(held):
                     clash = [k for k in kept if k[1] < hit[2] and hit[1] < k[2]]
                     if all(hit < k for k in clash):
                         found[key] = [k for k in kept if k not in clash] + [hit]
-            return [(ids[d], items.ids[i], a, b, e) for (d, i), hits in found.items() for e, a, b in sorted(hits, key=lambda h: h[1])]
+            rows = [(ids[d], items.ids[i], a, b, e) for (d, i), hits in found.items() for e, a, b in sorted(hits, key=lambda h: h[1])]
+            for i, text in zip(ids, codes, strict=True):
+                for item, short, most in items.short:
+                    rows += [(i, item, a, b, e) for e, a, b in sorted(everywhere(short, text, most), key=lambda h: h[1])]
+            return rows
 
         for batch in batches:
             rows, ids, codes, size = [], [], [], 0
@@ -206,8 +225,8 @@ def find_passages(
 
     A passage is a span of the text whose edit distance to an item, in lower case and with any
     white space as a space, is a tenth of the item's length at most; of overlapping spans of one
-    item the best is kept. Items of fewer than Q characters are not searched; of fewer than 80
-    characters, the budget is lower. Null and empty texts and items have no passage; null ids stay
+    item the best is kept. Short items, of which a passage may share no q-gram, are aligned with
+    every text whole. Null and empty texts and items have no passage; null ids stay
     null; repeated rows give repeated results. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -225,6 +244,12 @@ def find_passages(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark. Rows with a null id or text stay."""
-    found = find_passages(docs, benchmark, id_col, text_col, **names)
-    return docs.join(small(found.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that hold no passage of the benchmark.
+
+    Each row is judged by its own text, whatever its id is and however many rows share that; rows
+    with a null or empty text stay.
+    """
+    mark = fresh("row", docs.columns)
+    keyed = docs.withColumn(mark, F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)))
+    found = find_passages(keyed.select(mark, text_col), benchmark, mark, text_col, **names)
+    return keyed.join(small(found.select(mark).distinct()), mark, "left_anti").select(*docs.columns)

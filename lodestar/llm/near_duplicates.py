@@ -87,12 +87,12 @@ def odd_sketch(sig: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def features(width: int, bands: int, rows: int):
-    """mapInArrow function: (id, text) -> (id, n_shingles, cls, bands, sketch). Empty sets have a null cls."""
+    """mapInArrow function: (id, text, text_key) -> (id, n_shingles, cls, bands, sketch, text_key). Empty sets have a null cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
-        def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def emit(ids: list, sets: list[np.ndarray], texts: list) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
             keys, sketch, cls = [], [], []
             if full:
@@ -114,22 +114,24 @@ def features(width: int, bands: int, rows: int):
                     pa.array([next(cls) if x else None for x in have], pa.int64()),
                     pa.array([next(keys) if x else None for x in have], pa.list_(pa.int64())),
                     pa.array([next(sketch) if x else None for x in have], pa.list_(pa.int64())),
+                    pa.array(texts, pa.int64()),
                 ],
-                ["id", "n_shingles", "cls", "bands", "sketch"],
+                ["id", "n_shingles", "cls", "bands", "sketch", "text_key"],
             )
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids, sets, texts, held = [], [], [], 0
+            for i, text, key in zip(*batch.columns, strict=True):
                 s = shingles(text.as_py() or "", width, cache)
                 ids.append(i.as_py())
                 sets.append(s)
+                texts.append(key.as_py())
                 held += len(s)
                 if held > CHUNK_WORDS:
-                    yield emit(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield emit(ids, sets, texts)
+                    ids, sets, texts, held = [], [], [], 0
             if ids:
-                yield emit(ids, sets)
+                yield emit(ids, sets, texts)
 
     return run
 
@@ -215,7 +217,7 @@ def sketch_differs(left: str, right: str) -> Column:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id, kept).
+    """One row per row of docs: (id, n_shingles, component_id, kept, text_key), the last the xxhash64 of the text.
 
     Documents are linked where den * |A & B| >= num * |A | B| for their sets of word shingles.
     component_id is the smallest id reachable over links, the row's own id included; kept marks
@@ -227,8 +229,8 @@ def near_duplicates(
     bands, rows = banding(threshold)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     feats = cut(
-        source.mapInArrow(
-            features(width, bands, rows), "id long, n_shingles long, cls long, bands array<long>, sketch array<long>"
+        source.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            features(width, bands, rows), "id long, n_shingles long, cls long, bands array<long>, sketch array<long>, text_key long"
         ),
         "shingle-features",
     )
@@ -286,11 +288,12 @@ def near_duplicates(
     of_class = of_class.withColumn("label", F.coalesce("label", "cls"))
     least = of_class.groupBy("label").agg(F.min("doc").alias("least"))
     of_class = of_class.join(least, "label").select("cls", "least")
-    out = feats.select("id", "n_shingles", "cls").join(of_class, "cls", "left")
+    out = feats.select("id", "n_shingles", "cls", "text_key").join(of_class, "cls", "left")
     component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        "text_key",
     )

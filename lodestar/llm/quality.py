@@ -26,6 +26,7 @@ SYMBOL_SHARE, SHOUT_SHARE = 0.10, 0.5
 #: closing punctuation nor a phrase of boilerplate removes them. A document must keep KEPT_SHARE of its words.
 SHORT_LINE, LONG_LINE, KEPT_SHARE = 4, 40, 0.5
 MIN_WORDS, MOST_REPEATED = 10, 20
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_kept", "clean_text")
 
 
 def let(value: Column, body) -> Column:
@@ -92,11 +93,11 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text (null: empty). Lines without a word are left as they are; lines that fail a rule are
     removed. n_lines_removed counts those, n_words_kept the words left, clean_text the text left.
     kept is false where base_failed, or where less than half of the words are left. Null ids and
-    repeated rows give results like any other. keep_columns puts the columns of docs first;
-    otherwise only the id is kept.
+    repeated rows give results like any other. keep_columns puts the columns of docs first, but for
+    those with the name of a result, which are replaced; otherwise only the id is kept.
     """
     text = text_or_empty(text_col)
-    others = [F.col(c) for c in docs.columns] if keep_columns else [F.col(id_col)]
+    others = [F.col(c) for c in docs.columns if c.lower() not in RESULTS or c == id_col] if keep_columns else [F.col(id_col)]
     work = docs.select(F.struct(*others).alias("own"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     left = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x))

@@ -65,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100).drop("text_key")
 
 
 QUERIES = {

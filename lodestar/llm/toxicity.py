@@ -144,7 +144,8 @@ def train(
 
     At most most_toxic and most_clean documents are used, those of the smallest hash of the id, so
     the fit is one task over a bounded sample. Rows without a label, id or text are left out;
-    repeated labels of an id count once, 1 if any is 1.
+    repeated labels of an id count once, 1 if any is 1. Of several texts of one id that of the least
+    hash is taken, and rows are fitted in the order of their ids, so the same rows give the same model.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where("id is not null and y is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
@@ -152,8 +153,9 @@ def train(
         known = known.where(rows)
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = source.join(F.broadcast(parts[0].union(parts[1])), "id").dropDuplicates(["id"]).select("y", "text")
-    row = sample.coalesce(1).mapInArrow(fit_batches, "model binary").first()
+    sample = source.join(F.broadcast(parts[0].union(parts[1])), "id")
+    sample = sample.groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    row = sample.coalesce(1).sortWithinPartitions("id").select("y", "text").mapInArrow(fit_batches, "model binary").first()
     return bytes(row["model"]) if row else packed(*fit([], []))
 
 

@@ -7,6 +7,7 @@ from test_lines_and_quality import brute as brute_lines
 from test_lines_and_quality import repeated
 from test_near_duplicates import brute as brute_near
 from test_scans import edit_distance_inside
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,11 +54,10 @@ def corpus(rng):
         rows.append((i, prose()))
     for i in range(60, 75):  # copies, whole and in part
         rows.append((i, rows[i - 60][1] if i % 2 else rows[i - 60][1].replace("w1", "q1", 1)))
-    for i in range(75, 85):  # one line, one word away from another document's: near duplicates, but no fuzzy lines
-        base = words(rng, 70).split()
-        rows.append((2 * i, " ".join(base) + "."))
-        base[i % 70] = "other"
-        rows.append((2 * i + 1, " ".join(base) + "."))
+    for i in range(75, 85):  # the same words in lines that end elsewhere: near duplicates, but no fuzzy lines
+        base = [w + "." * (k % 10 == 9) for k, w in enumerate(words(rng, 60).split())]
+        rows.append((2 * i, "\n".join(" ".join(base[k : k + 20]) for k in (0, 20, 40))))
+        rows.append((2 * i + 1, "\n".join(" ".join(base[max(k, 0) : k + 20]) for k in (-10, 10, 30, 50))))
     for i in range(200, 206):
         rows.append((i, f"{prose()}\n{items[i - 200][1]}\n{prose()}"))
     for i in range(300, 306):
@@ -111,8 +111,32 @@ def test_stages_equal_plain_versions(spark, docs, tmp_path):
 
 def test_stages_take_odd_and_empty_tables(spark, odd, empty, tmp_path):
     spark.createDataFrame([(1, None), (2, "nothing of the kind is in there")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for df in (odd, empty):
-        docs = df.drop("id", "label", "key")
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, str(tmp_path))
-            assert out.count() >= 0, name
+    stay = {"quality_rules": [], "line_dedup": [None, 1, 2, 3, 4, 5, 5, 6], "near_dedup": [None, 1, 2, 3, 4, 5, 6], "decontamination": [None, 1, 2, 3, 4, 5, 5, 6]}
+    docs = odd.drop("id", "label", "key")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = [r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()]
+        assert sorted(out, key=lambda i: -1 if i is None else i) == stay[name], name
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == {None, 1, 2, 3, 4, 5, 6}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.drop("id", "label", "key"), str(tmp_path)).collect() == [], name
+
+
+def test_rows_that_share_an_id_and_columns_of_any_name(spark, docs, tmp_path):
+    rng = random.Random(4)
+    one, two, passage = (words(rng, 30) + "." for _ in range(3))
+    spark.createDataFrame([(1, passage), (2, "q7 z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("kept", "n_words", "clean_text", "n_lines", "document", "row", "component_id", "text_key", "id_", "key_", "own", "start", "item_id")
+    df = docs([(1, one), (2, one), (2, two), (7, two), (9, passage), (9, one), (None, passage), (8, "so q7  z")]).drop("id", "label", "key")
+    df = df.select("*", *(F.lit(5).alias(c) for c in names))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        out = stages[name](spark, df, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == df.columns and all(r[c] == 5 for r in rows for c in names)
+        return sorted((r["doc_id"] or 0, r["text"]) for r in rows)
+
+    assert after("near_dedup") == sorted([(1, one), (2, two), (9, passage), (0, passage), (8, "so q7  z")])
+    assert after("decontamination") == sorted([(1, one), (2, one), (2, two), (7, two), (9, one), (8, "so q7  z")])
+    assert after("quality_rules") == sorted([(1, one), (2, one), (2, two), (7, two), (9, passage), (9, one), (0, passage)])
+    assert len(after("line_dedup")) == 4
