@@ -195,7 +195,7 @@ def edit_distance_inside(item, text):
 def test_passages_equal_brute_force(spark, docs):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh  ") for _ in range(n))
-    items = [(i, text(rng.randrange(30, 200))) for i in range(12)] + [(50, None), (51, ""), (52, "abc")]
+    items = [(i, text(rng.randrange(30, 200))) for i in range(12)] + [(50, None), (51, ""), (52, "abc"), (53, "fg hdeabcd a"), (54, "abcdefgh hgfedcba abcde")]
     rows = []
     for i in range(120):
         x = list(items[rng.randrange(12)][1])
@@ -209,10 +209,10 @@ def test_passages_equal_brute_force(spark, docs):
         got[r["doc_id"], r["item_id"]] = min(got.get((r["doc_id"], r["item_id"]), 99), r["edits"])
     known, want = Items(items), {}
     for i, t in rows:
-        for k, item in zip(known.ids, known.codes, strict=True):
+        for k, item in [*zip(known.ids, known.codes, strict=True), *((k, item) for k, item, _ in known.short)]:
             if (e := edit_distance_inside(item.tolist(), code_points(t, known.fold).tolist())) <= budget(len(item)):
                 want[i, k] = e
-    assert got == want and len(want) > 40
+    assert got == want and len(want) > 40 and {53, 54} <= {k for k, _, _ in known.short}
     blocks = {(r["doc_id"], r["item_id"]) for r in find_passages(docs(rows), bench, block_chars=300).collect()}
     assert blocks == set(want)
     assert {r["doc_id"] for r in decontaminate(docs(rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
