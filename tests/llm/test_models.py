@@ -154,3 +154,12 @@ def test_bins_are_as_full_as_they_can_be():
             sums |= {s + x for s in sums}
         best = max(s for s in sums if s + max(lengths) <= 60) + max(lengths)
         assert sum(lengths[i] for i in bins[0]) == best
+
+
+def test_fit_takes_one_text_of_an_id(spark):
+    from lodestar.llm import toxicity
+
+    rows = [(i, f"word{i % 3} nasty{i % 2} thing. another{i % 5} line") for i in range(60)] + [(i, f"another text {i} nasty0") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)], "doc_id long, toxic int")
+    models = {toxicity.train(spark.createDataFrame(given, "doc_id long, text string").repartition(n), labels) for given, n in ((rows, 1), (rows[::-1], 7))}
+    assert len(models) == 1
