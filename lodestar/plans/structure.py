@@ -212,11 +212,11 @@ def html_paragraphs(spark, d):
 
 @query()
 def html_tables(spark, d):
-    """Pages as tables: each has its facts in a small table of its own."""
+    """Whole pages, each behind a small table of its facts, as the pages themselves may have none."""
     p = table(spark, d, "pages")
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell("page_id"), cell("url"), F.lit("<td colspan=2>7</td></tr>"))
-    page = F.concat(F.lit("<table><thead><tr><th>a<th>b</tr></thead>"), row, row, row, F.lit("</table>"))
+    page = F.concat(F.lit("<table><thead><tr><th>a<th>b</tr></thead>"), row, row, row, F.lit("</table>"), F.coalesce("html", F.lit("")))
     found = html.html_tables(p.select("page_id", page.alias("html")))
     return found.select("page_id", "table_index", tables.serialised(tables.cleaned(F.col("rows"))).alias("text"), tables.is_data(tables.cleaned(F.col("rows"))).alias("is_data"))
 
@@ -225,6 +225,8 @@ def html_tables(spark, d):
     """SELECT page_id, 0 AS ref_index, regexp_extract(url, '^(https?://[^/]+)', 1) || '/img/Chart-' || page_id || '.png' AS image_url, 'a graph' AS alt_text, 'image/png' AS mime FROM pages"""
 )
 def chart_refs(spark, d):
+    """Whole pages, each behind a chart and another image, as the pages themselves may have none."""
     p = table(spark, d, "pages")
-    page = F.concat(F.lit("<p><img src='/img/Chart-"), F.col("page_id").cast("string"), F.lit(".png' alt=' a graph '><img src='logo.gif'>"))
+    images = F.concat(F.lit("<p><img src='/img/Chart-"), F.col("page_id").cast("string"), F.lit(".png' alt=' a graph '><img src='logo.gif'></p>"))
+    page = F.concat(images, F.coalesce("html", F.lit("")))
     return html.chart_refs(p.select("page_id", "url", page.alias("html")), "html", "url", "page_id", "url").drop("url", "error")
