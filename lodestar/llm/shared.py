@@ -40,6 +40,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove working tables of cut or small that nothing will read again, and have Spark clear the shuffles that led to them."""
     for path in {getattr(df, "working_path", None) for df in tables} - {None}:
