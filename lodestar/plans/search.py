@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.joins import small
+from lodestar.functions.storage import new_path
 from lodestar.functions.text import words
-from lodestar.operators import evaluation, lsh, metrics, retrieval
+from lodestar.operators import evaluation, ivf, lsh, metrics, retrieval
 from lodestar.operators.stemming import english
 from lodestar.plans.registry import query, table
 
@@ -347,3 +348,25 @@ def bm25_stemmed(spark, d):
 def knn_lsh(spark, d):
     v = vectors(spark, d)
     return lsh.nearest_approximately(v.where("id % 20 = 0"), v, 10, dims=64, tables=24, bits=4)
+
+
+def cells(spark, d) -> tuple[DataFrame, ivf.Cells, int]:
+    """Queries, a stored index of the vectors, and an ef of three in twenty of them."""
+    v = vectors(spark, d)
+    index = ivf.build(v, new_path(spark, "cells"))
+    return v.where("id % 20 = 0"), index, max(10, v.count() * 3 // 20)
+
+
+@query()
+def knn_ivf(spark, d):
+    """The same queries as knn_exact_topk; which cells and codes are near depends on a fit, so SQL can't say."""
+    asked, index, ef = cells(spark, d)
+    return ivf.nearest_in_cells(asked, index, 10, ef, exclude_self=True)
+
+
+@query()
+def ann_curve(spark, d):
+    """Recall against the exact lists by ef, and what a query reads and scores for it."""
+    asked, index, ef = cells(spark, d)
+    v = vectors(spark, d)
+    return ivf.curve(asked, index, retrieval.nearest(asked, v, 10), 10, [10, max(11, ef // 3), max(12, ef)])
