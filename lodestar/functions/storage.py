@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -57,16 +58,24 @@ def put_new(spark: SparkSession, path: str, text: str) -> bool:
     stream = fs.create(part, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()) if p.toUri().getScheme() else spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # a link is made in one step, and fails where the name is taken
+        try:
+            os.link(part.toUri().getPath(), p.toUri().getPath())
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(part, False)
+        return True
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    modes = spark._gateway.new_array(rename, 1)
+    modes = spark.sparkContext._gateway.new_array(rename, 1)
     modes[0] = rename.NONE
     try:
         files.rename(part, p, modes)
-    except Exception as e:
-        if "FileAlreadyExists" not in str(e) and not fs.exists(p):
-            raise
+    except Exception:
         fs.delete(part, False)
+        if not fs.exists(p):
+            raise
         return False
     return True
 

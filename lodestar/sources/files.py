@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar import schemas
 from lodestar.functions.joins import small
+from lodestar.functions.storage import cut, exists
 from lodestar.operators.facts import extract_facts
+from lodestar.sources.log import Log
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema) -> DataFrame:
@@ -19,16 +22,38 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema) -> DataFrame
     return spark.read.schema(schema).json(paths)
 
 
+def in_order(spark: SparkSession, paths: str | list[str], schema) -> DataFrame:
+    """Rows of JSON lines with file and ordinal: their place, from 0, over all files by name and all lines of each.
+
+    A file is read in blocks by any tasks, and a task reads several. Within a block the number that Spark counts up in a task
+    gives the order; blocks, by file and start, are added up to where each begins. No row is sorted or moved for it.
+    """
+    whole = spark.read.schema(schema).json(paths)
+    at, file, start = (fresh(name, whole.columns) for name in ("at", "file", "start"))
+    rows = cut(whole.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(start), F.monotonically_increasing_id().alias(at)), "ordered")
+    blocks = rows.groupBy(file, start).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1))  # a row a block of 128 MB
+    blocks = blocks.select(F.col(file).alias("f"), F.col(start).alias("s"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = rows.join(F.broadcast(blocks), (F.col(file) == F.col("f")) & (F.col(start) == F.col("s")))
+    return placed.select(*whole.columns, F.col(file).alias("file"), (F.col(at) + F.col("shift")).alias("ordinal"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def corpus(spark: SparkSession, *folders: str) -> DataFrame:
-    """Chunks of all folders, with the file each came from."""
-    return spark.read.schema(schemas.CHUNK).json(list(folders)).withColumn("file", F.input_file_name())
+    """Chunks of all folders, with the file each came from, and ordinal: files by name, lines in order."""
+    return in_order(spark, list(folders), schemas.CHUNK)
 
 
-def eval_set(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Entries with ordinal, their order in the file; a split that is asked for must be known and set on all rows."""
+def eval_set(spark: SparkSession, path: str | list[str], split: str | None = None) -> DataFrame:
+    """Entries with ordinal, their order over all files; a split that is asked for must be known and set on all rows."""
     if split not in (None, "dev", "test"):
         raise ValueError(f"no such split: {split}")
-    rows = spark.read.schema(schemas.EVAL_ENTRY).json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    rows = in_order(spark, path, schemas.EVAL_ENTRY).drop("file")
     if split is None:
         return rows
     if n := rows.where("split is null").count():
@@ -85,12 +110,31 @@ def write_json(rows: DataFrame, path: str, by: str = "company") -> None:
     rows.write.mode("overwrite").partitionBy(by).json(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key is not stored yet, so that a run can be taken up again."""
-    spark = rows.sparkSession
-    known = spark.read.schema(rows.schema).json(path) if exists(spark, path) else None
-    new = rows if known is None else rows.join(known.select(key).distinct(), key, "left_anti")
-    new.select(*rows.columns).write.mode("append").json(path)
+def append_new(rows: DataFrame, path: str, key: str) -> int:
+    """Append the rows whose key is not stored yet, of each key one, so that a run can be taken up again; the entries of the log then.
+
+    Rows are written to a folder of their own, which counts once the log names it. A writer that finds its number taken drops
+    the keys that the other wrote and tries the next; a run that failed midway leaves a folder that nobody reads.
+    """
+    spark, log = rows.sparkSession, Log(rows.sparkSession, f"{path}/_log")
+    wanted, folder, seen = rows.dropDuplicates([key]), None, -1
+    while True:
+        numbers = log.numbers()
+        if folder is None or len(numbers) != seen:
+            known = appended(spark, path, rows.schema, numbers[max(seen, 0) :] if folder else numbers)
+            wanted = wanted.join(known.select(key), key, "left_anti").select(*rows.columns)
+            folder, seen = f"part-{uuid.uuid4().hex}", len(numbers)
+            wanted.write.json(f"{path}/{folder}")
+            wanted = spark.read.schema(rows.schema).json(f"{path}/{folder}")
+        if log.put(seen, {"folder": folder}):
+            return seen + 1
+
+
+def appended(spark: SparkSession, path: str, schema, numbers: list[int] | None = None) -> DataFrame:
+    """The rows that the log names, or those of some of its entries."""
+    log = Log(spark, f"{path}/_log")
+    folders = [f"{path}/{log.at(n)['folder']}" for n in (log.numbers() if numbers is None else numbers)]
+    return spark.read.schema(schema).json(folders) if folders else spark.createDataFrame([], schema)
 
 
 def create_index(spark: SparkSession, path: str, schema, recreate: bool = False) -> None:
@@ -117,15 +161,5 @@ def by_ids(index: DataFrame, ids: DataFrame, *fields: str) -> DataFrame:
     return index.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", *fields)
 
 
-def size_bytes(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False) + "\n")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestar import schemas
+from lodestar.functions.storage import exists
 from lodestar.operators.enrich import upserted
-from lodestar.sources.files import exists
+from lodestar.sources.buckets import BucketedIndex
 
 #: Versions that stay: the newest, and the one before it for those who read it still.
 VERSIONS_KEPT = 2
@@ -58,3 +59,12 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
     if not known:
         raise ValueError(f"no index at {path}")
     return spark.read.parquet(f"{path}/v={known[-1]}").drop("version")
+
+
+def bucketed_stream(spark: SparkSession, source: str, index: BucketedIndex, checkpoint: str, name: str, schema=schemas.CHUNK, order: str | None = None) -> StreamingQuery:
+    """Take up all files of source that are new, and stop. A batch rewrites the buckets of its keys only; name tells this stream's
+    batches from those of others, so one that runs again after the switch does nothing.
+    """
+    rows = spark.readStream.schema(schema).json(source)
+    put = lambda batch, epoch: index.upsert(batch, order, (name, epoch))
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -32,7 +32,7 @@ def test_append_is_resumable(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     files.append_new(df, path, "id")
     files.append_new(df.union(spark.createDataFrame([(3, "c")], df.schema)), path, "id")
-    assert sorted(r["id"] for r in files.json_lines(spark, path, df.schema).collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in files.appended(spark, path, df.schema).collect()) == [1, 2, 3]
 
 
 def test_eval_set_needs_splits(spark, tmp_path):
