@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.storage import BROADCAST_ROWS, cut
 from lodestar.functions.vectors import dot, norm
 from lodestar.operators.evaluation import lists
 
@@ -23,17 +25,41 @@ def ann_recall(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
     return a.join(b, "query_id", "left").select("query_id", F.coalesce(F.try_divide(common, F.size("ids")), F.lit(0.0)).alias("recall"))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """Percentile without interpolation: the value at the share of the count, rounded half to even, from 1 to the count.
+#: The accuracy of the sketch that says in which range a percentile lies: ranks are off by a share of one in so many at most.
+ACCURACY = 10_000
 
-    As an aggregate; values are collected, so it is for groups of bounded size such as latencies of a run.
+
+def percentiles(rows: DataFrame, shares: Sequence[float], *by: str, value: str = "ms") -> DataFrame:
+    """(by, share, value, n): percentiles without interpolation: the value at the share of the count, rounded half to even, from 1 to the count.
+
+    Exact in two passes, and no group is gathered. A sketch gives each a range that holds it; then values below the range are counted,
+    and those inside it by value: some four in ACCURACY of a group's rows, and their ties as one. Nulls don't count, NaN is the greatest.
     """
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, (F.greatest(F.lit(1), F.least(F.size(ordered), F.bround(F.lit(share) * F.size(ordered)).cast("int"))) - 1))
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    ends = [min(1.0, max(0.0, s + d / ACCURACY)) for s in shares for d in (-2, 2)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("ends"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") <= ACCURACY  # a rank more or less is beyond the sketch's share, and all values are few
+    end = lambda i, whole: F.when(few, F.col(whole)).otherwise(F.col("ends")[i])
+    targets = F.array(*(F.struct(F.lit(float(s)).alias("share"), end(2 * i, "least").alias("lo"), end(2 * i + 1, "most").alias("hi")) for i, s in enumerate(shares)))
+    targets = sketch.where("n > 0").select(*(F.col(c).alias(f"of_{c}") for c in by), "n", F.explode(targets).alias("t")).select(*(f"of_{c}" for c in by), "n", "t.*")
+    targets = cut(targets, "ranges")  # the sketch isn't made again for the second pass
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by), F.lit(True))
+    side = targets if targets.count() > BROADCAST_ROWS else F.broadcast(targets)
+    rank = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("share") * F.col("n")).cast("long"))).alias("rank")
+    inside = rows.join(side, same & (F.col("v") <= F.col("hi"))).groupBy(*by, "share", "n", rank, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("times"))
+    up_to = F.sum("times").over(Window.partitionBy(*by, "share").orderBy(F.col("v").asc_nulls_first()))
+    reached = inside.withColumn("up_to", up_to).where(F.col("up_to") >= F.col("rank"))
+    found = reached.groupBy(*by, "share", "n").agg(F.min_by(F.struct("v"), "up_to").alias("at"))
+    held = F.when(F.col("at.v").isNull(), F.raise_error(F.lit("a percentile lies outside of its range")).cast("double")).otherwise(F.col("at.v"))
+    return found.select(*by, "share", held.alias("value"), "n")
 
 
 def latency_summary(runs: DataFrame, *by: str, value: str = "ms") -> DataFrame:
-    return runs.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"), F.count(value).alias("n"))
+    """(by, mean, p50, p95, n)."""
+    at = percentiles(runs, (0.5, 0.95), *by, value=value).groupBy(*by).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(p) for s, p in ((0.5, "p50"), (0.95, "p95"))))
+    means = runs.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.count(value).alias("n"))
+    same = reduce(lambda a, b: a & b, (means[c].eqNullSafe(at[c]) for c in by), F.lit(True))
+    return means.join(at, same, "left").select(*(means[c] for c in by), "mean", "p50", "p95", "n")
 
 
 def search_points(asked: str | Column, k: int) -> Column:

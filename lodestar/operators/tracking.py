@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.storage import cut
+
 #: Keys of a report that are no metrics, the longest list that is indexed, and how far metrics may differ.
 SKIPPED = frozenset({"per_query", "ground_truth_caveat", "unsupported"})
 MOST_ITEMS, TOLERANCE = 100, 1e-9
@@ -25,6 +27,29 @@ def flatten(report, prefix: str = "") -> dict[str, float | str]:
     return out
 
 
+def flatten_reports(reports: DataFrame, *by: str, report: str = "report") -> DataFrame:
+    """(by, metric, value) of a table of reports, as JSON or VARIANT: each number, under its dotted path.
+
+    The same leaves as of flatten: keys in SKIPPED go with all below them, of a list the first MOST_ITEMS count, and
+    booleans, nulls and texts are no metrics. Text that is no JSON has none. A round takes all reports a level deeper; there are as many as the deepest has levels.
+    """
+    value = F.col(report) if reports.schema[report].dataType.simpleString() == "variant" else F.try_parse_json(report)
+    level, out = reports.select(*by, F.lit("").alias("metric"), value.alias("value")), None
+    while True:
+        kind = F.schema_of_variant("value")
+        level = cut(level.select("*", kind.alias("kind")).where("kind is not null"), "level")
+        numbers = level.where(F.col("kind").rlike("^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)")).select(*by, "metric", F.try_variant_get("value", "$", "double").alias("value"))
+        out = numbers if out is None else out.unionByName(numbers)
+        deeper = level.where(F.col("kind").rlike("^(OBJECT|ARRAY)"))
+        if deeper.isEmpty():
+            return out
+        items = deeper.select(*by, "metric", F.col("value").alias("of"))
+        items = items.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("of").outer()))
+        items = items.where(F.when(F.col("key").isNull(), F.col("pos") < MOST_ITEMS).otherwise(~F.col("key").isin(sorted(SKIPPED))))
+        name = F.coalesce("key", F.col("pos").cast("string"))
+        level = items.select(*by, F.when(F.col("metric") == "", name).otherwise(F.concat("metric", F.lit("."), name)).alias("metric"), "value")
+
+
 def latest_runs(runs: DataFrame, name: str = "name", created: str = "created_at", state: str = "state") -> DataFrame:
     """Of each name the newest finished run, by the text of its creation time; of equal times the least of the rest."""
     rest = [c for c in runs.columns if c not in (name, created)]

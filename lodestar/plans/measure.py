@@ -197,3 +197,31 @@ def exact_values(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").cast("double").alias("value"))
     expected = b.select("query_id", F.when(F.col("query_id") % 7 == 0, F.col("value") + 1).when(F.col("query_id") % 5 == 0, None).otherwise(F.col("value") + 0.5).alias("expected_value"))
     return evaluation.exact_values(expected, b)
+
+
+@query(
+    """WITH r AS (SELECT user_id AS run, json_object('n', count(*), 'stats', json_object('mean', avg(value), 'most', max(value), 'ok', true), 'values', list(value ORDER BY event_id), 'per_query', [1, 2],
+  'last', json_object('type', arg_max(event_type, event_id), 'points', [json_object('id', max(event_id)), json_object('id', min(event_id))])) AS report FROM events GROUP BY user_id)
+SELECT run, replace(replace(replace(fullkey, '$.', ''), '[', '.'), ']', '') AS metric, round(atom::DOUBLE, 6) AS value
+FROM r, json_tree(report) WHERE type IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND fullkey NOT LIKE '$.per_query%' AND NOT regexp_matches(fullkey, '^\\$\\.values\\[\\d{3,}\\]$')"""
+)
+def flatten_reports(spark, d):
+    """A report of each user's events as JSON, and its numbers again."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])  # some events a user
+    point = lambda f: F.struct(f("event_id").alias("id"))
+    report = F.struct(
+        F.count("*").alias("n"), F.struct(F.avg("value").alias("mean"), F.max("value").alias("most"), F.lit(True).alias("ok")).alias("stats"), values.alias("values"),
+        F.array(F.lit(1), F.lit(2)).alias("per_query"), F.struct(F.max_by("event_type", "event_id").alias("type"), F.array(point(F.max), point(F.min)).alias("points")).alias("last"),
+    )
+    reports = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.to_json(report).alias("report"))
+    out = tracking.flatten_reports(reports, "run")
+    return out.select("run", "metric", F.round("value", 6).alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i FROM events),
+s AS (SELECT unnest([0.0, 0.01, 0.5, 0.9, 0.999, 1.0])::DOUBLE AS share)
+SELECT event_type, share, value, n FROM e, s WHERE i = greatest(1, least(n, round_even(share * n, 0)))"""
+)
+def percentile_ranks(spark, d):
+    return measurement.percentiles(table(spark, d, "events"), (0.0, 0.01, 0.5, 0.9, 0.999, 1.0), "event_type", value="value")
