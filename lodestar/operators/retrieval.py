@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.joins import small
+from lodestar.functions.storage import cut, small
 from lodestar.functions.text import words
 
 #: The constants of reciprocal rank fusion, of the hybrid search and of BM25.
@@ -110,22 +110,32 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str,
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str, object] | None = None, analyse: Callable[[Column], Column] = words) -> DataFrame:
     """Okapi BM25: queries (query_id, text), corpus (chunk_id, text, ...). Distinct query terms, exact lengths.
 
-    Only occurrences of query terms are shuffled: the terms, bounded by the queries, meet the corpus
-    where it is read. Filters bound what is returned and, like the statistics, don't change scores.
+    Filters bound what is returned and, like the statistics, don't change scores.
+    """
+    scored = bm25_scores(queries, corpus.withColumn("meets", matches(filters)), "meets", analyse=analyse)
+    return top(scored.where("meets").drop("meets"), k)
+
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, *fields: str, analyse: Callable[[Column], Column] = words) -> DataFrame:
+    """(query_id, chunk_id, fields, score) of all documents with a query term.
+
+    Texts are read and analysed once: occurrences of query terms, bounded by the queries, and a row a document for the
+    statistics are written, and all else reads these.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
-    docs = corpus.select("chunk_id", matches(filters).alias("meets"), analyse(F.col("text")).alias("terms"))
-    docs = docs.withColumn("dl", F.size("terms"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = small(asked.select("term").distinct())
-    hits = docs.select("chunk_id", "meets", "dl", F.explode("terms").alias("term")).join(vocabulary, "term")
-    tf = hits.groupBy("term", "chunk_id", "meets", "dl").agg(F.count("*").alias("tf"))
+    vocabulary = small(asked.select("term", F.lit(True).alias("asked")).distinct())
+    docs = corpus.select("chunk_id", *fields, analyse(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    each = docs.select("chunk_id", *fields, "dl", F.posexplode_outer("terms").alias("i", "term")).join(vocabulary, "term", "left")
+    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    each = each.where(first | F.col("asked")).select("chunk_id", *fields, "dl", first.alias("first"), F.when(F.col("asked"), F.col("term")).alias("term"))
+    each = cut(each, "occurrences")
+    stats = each.where("first").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = each.where("term is not null").groupBy("term", "chunk_id", *fields, "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impact = tf.join(df, "term").crossJoin(F.broadcast(stats)).where("meets").select("term", "chunk_id", (idf * weight).alias("impact"))
-    scored = impact.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("impact"), 6).alias("score"))
-    return top(scored, k)
+    impact = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", *fields, (idf * weight).alias("impact"))  # one row of statistics
+    return impact.join(asked, "term").groupBy("query_id", "chunk_id", *fields).agg(F.round(F.sum("impact"), 6).alias("score"))
 
 
 def fuse(ranked: DataFrame, weights: Mapping[str, float], k: int | None = None, rank_constant: int = RRF_K) -> DataFrame:

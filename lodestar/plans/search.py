@@ -7,10 +7,9 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.joins import small
-from lodestar.functions.storage import new_path
+from lodestar.functions.storage import cut, new_path, small
 from lodestar.functions.text import words
-from lodestar.operators import evaluation, ivf, lsh, metrics, retrieval
+from lodestar.operators import evaluation, ivf, lsh, metrics, postings, retrieval
 from lodestar.operators.stemming import english
 from lodestar.plans.registry import query, table
 
@@ -55,13 +54,13 @@ def relevant(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d).withColumnRenamed("text", "item").withColumn("w", F.array_remove(F.split("item", r"\s+"), ""))
     n = F.least(F.size("w") - 2, F.lit(WINDOW))
     items = asked.where(F.size("w") >= 3).select("query_id", "item", n.alias("n"), F.slice("w", F.lit(2), n).alias("inner"))
-    items = items.select("query_id", "item", "n", window_key(F.col("inner"), F.lit(0), F.col("n")).alias("key"))
+    items = cut(items.select("query_id", "item", "n", window_key(F.col("inner"), F.lit(0), F.col("n")).alias("key")), "items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # WINDOW values at most
     docs = corpus(spark, d)
-    # words as rows, so that windows are hashed in compiled code
-    places = docs.select("chunk_id", split.alias("w")).select("chunk_id", "w", F.posexplode("w").alias("i", "_"))
-    keys = F.array(*(F.when(F.col("i") + n <= F.size("w"), window_key(F.col("w"), F.col("i"), F.lit(n))) for n in lengths)).cast("array<bigint>")
-    hits = places.select("chunk_id", F.explode(keys).alias("key")).join(small(items.select("query_id", "key")), "key")
+    # windows are hashed in the row, so that what is dealt out is an id and a number, not the words around it
+    windows = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: window_key(F.col("w"), i, F.lit(n))))
+    keys = F.flatten(F.array(*(F.coalesce(windows(n), F.array().cast("array<bigint>")) for n in lengths)).cast("array<array<bigint>>"))
+    hits = docs.select("chunk_id", split.alias("w")).select("chunk_id", F.explode(keys).alias("key")).join(small(items.select("query_id", "key")), "key")
     pairs = hits.select("query_id", "chunk_id").distinct().join(small(items.select("query_id", "item")), "query_id")
     found = pairs.join(docs.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
     short = asked.where(F.size("w") < 3).select("query_id", "item")
@@ -151,6 +150,26 @@ def bm25_filtered(spark, d):
     return retrieval.bm25(questions(spark, d), corpus(spark, d), 20, {"lang": "en"})
 
 
+def stored(spark, d) -> postings.Postings:
+    return postings.build(corpus(spark, d), new_path(spark, "postings"), "lang")
+
+
+@query(f"WITH {bm25_sql()} SELECT query_id, chunk_id, score, rank FROM lexical")
+def bm25_stored(spark, d):
+    """The same ranking from a stored index."""
+    return postings.search(questions(spark, d), stored(spark, d), 50)
+
+
+@query(
+    "WITH "
+    + bm25_sql(1_000_000_000)
+    + """, kept AS (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM lexical l JOIN documents ON doc_id = chunk_id WHERE lang IN ('fr', 'de'))
+SELECT query_id, chunk_id, score, r AS rank FROM kept WHERE r <= 5"""
+)
+def bm25_stored_filtered(spark, d):
+    return postings.search(questions(spark, d), stored(spark, d), 5, {"lang": ["fr", "de"]})
+
+
 @query(
     f"WITH {bm25_sql()}, {knn_sql()}, {hybrid_sql('fused', '0.25', 10)} SELECT query_id, chunk_id, score, rank, text, source FROM fused JOIN documents ON doc_id = chunk_id"
 )
@@ -160,8 +179,8 @@ def rrf_hybrid(spark, d):
 
 
 def ranked_lists(spark, d) -> DataFrame:
-    """(query_id, retriever, rank, chunk_id) of both retrievers and their fusion, the rankings read once each."""
-    lex, den = lexical(spark, d), dense(spark, d)
+    """(query_id, retriever, rank, chunk_id) of both retrievers and their fusion. Each ranking is written, and read from there."""
+    lex, den = cut(lexical(spark, d), "lexical"), cut(dense(spark, d), "dense")
     fused = retrieval.hybrid(lex, den, 50)
     out = None
     for name, df in (("bm25", lex), ("dense", den), ("hybrid", fused)):
@@ -274,8 +293,8 @@ SELECT query_id, one.ids = two.ids AS same_order, list_sort(one.ids) = list_sort
   list_filter(two.ids, lambda x: NOT list_contains(one.ids, x)) AS only_two, 184 AS entry_depth FROM one JOIN two USING (query_id)"""
 )
 def pool_overlap(spark, d):
-    pool = retrieval.hybrid(lexical(spark, d), dense(spark, d), 50)
-    out = evaluation.divergence(pool, lexical(spark, d))
+    lex = cut(lexical(spark, d), "lexical")
+    out = evaluation.divergence(retrieval.hybrid(lex, dense(spark, d), 50), lex)
     return out.withColumn("entry_depth", retrieval.dense_entry_depth(F.lit(0.25)))
 
 
@@ -291,12 +310,12 @@ SELECT retriever, count(*) AS n_queries, {MEANS} FROM scored GROUP BY retriever"
 def level_ablation(spark, d):
     """Kinds by length stand for the levels of a hierarchy; the allowlists bound what is searched."""
     kind = F.when(F.length("text") < 500, "short").when(F.length("text") < 3000, "middle").otherwise("long")
-    docs = corpus(spark, d).withColumn("kind", kind)
-    out = None
     levels = {"all": ["short", "middle", "long"], "short+middle": ["short", "middle"], "middle": ["middle"]}
-    for name, kinds in levels.items():
-        one = retrieval.bm25(questions(spark, d), docs, 20, {"kind": kinds}).select("query_id", F.lit(name).alias("retriever"), "rank", "chunk_id")
-        out = one if out is None else out.unionByName(one)
+    # a score is the same at each level, so it is worked out once
+    scored = retrieval.bm25_scores(questions(spark, d), corpus(spark, d).withColumn("kind", kind), "kind")
+    named = F.filter(F.array(*(F.when(F.col("kind").isin(kinds), F.lit(name)) for name, kinds in levels.items())), lambda x: x.isNotNull())
+    spread = scored.select("query_id", "chunk_id", "score", F.explode(named).alias("retriever"))
+    out = retrieval.top(spread.withColumn("run", F.struct("query_id", "retriever")), 20, "run").select("query_id", "retriever", "rank", "chunk_id")
     return metrics.averaged(metrics.per_query(out, relevant(spark, d), spark.createDataFrame([(n,) for n in levels], "retriever string")))
 
 
