@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import strip
+from lodestar.operators.resume import new_rows
 
 #: The budget of a rollup, and the least length of an indexed text.
 ROLLUP, MIN_INDEXED = 2000, 20
@@ -40,11 +41,11 @@ def enrich(chunks: DataFrame, limit: int = ROLLUP) -> DataFrame:
 
 
 def indexable(enriched: DataFrame, kinds: list[str] | None = None, done: DataFrame | None = None, least: int = MIN_INDEXED, most: int | None = None) -> DataFrame:
-    """Chunks to index: of the kinds, no empty section, long enough, not in done (chunk_id); most of them where a run is to be short."""
+    """Chunks to index: of the kinds, no empty section, long enough, not in done (chunk_id); where a run is to be short the most first by id, so that runs one after the other take all."""
     out = enriched if kinds is None else enriched.where(F.col("chunk_type").isin(kinds))
     out = out.where(F.coalesce("enriched", F.lit(True)) & (F.length(strip("text")) >= least))
-    out = out if done is None else out.join(done.select("chunk_id"), "chunk_id", "left_anti")
-    return out if most is None else out.limit(most)
+    out = out if done is None else new_rows(out, done, "chunk_id")
+    return out if most is None else out.orderBy("chunk_id").limit(most)
 
 
 def index_document(chunks: DataFrame, embedding: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.ids import chunk_id, fact_id, token_count
 from lodestar.functions.text import normalise_space
 from lodestar.operators import enrich, facts, html, structure, tables
+from lodestar.operators.resume import new_rows
 from lodestar.plans.registry import query, table
 
 #: A line that starts with this word stands for a heading.
@@ -230,3 +231,10 @@ def chart_refs(spark, d):
     images = F.concat(F.lit("<p><img src='/img/Chart-"), F.col("page_id").cast("string"), F.lit(".png' alt=' a graph '><img src='logo.gif'></p>"))
     page = F.concat(images, F.coalesce("html", F.lit("")))
     return html.chart_refs(p.select("page_id", "url", page.alias("html")), "html", "url", "page_id", "url").drop("url", "error")
+
+
+@query("SELECT doc_id, lang, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_new_rows(spark, d):
+    """Labels stand for what an earlier run has stored."""
+    docs, stored = table(spark, d, "documents").select("doc_id", "lang", "text"), table(spark, d, "labels").select("doc_id")
+    return new_rows(docs, stored, "doc_id")
