@@ -71,10 +71,12 @@ def lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
 def formatted(value: str = "value", unit: str = "unit") -> Column:
     """The figure as a filing states it."""
     v, u = F.col(value), F.col(unit)
+    # a half goes to the even digit, as the exact value of the double has it
+    shown = lambda x, pattern: F.call_function("format_number", x, F.lit(pattern))
     usd = (
-        F.when(F.abs(v) >= 1e9, F.concat(F.lit("$"), F.format_string("%.2f", v / 1e9), F.lit(" billion")))
-        .when(F.abs(v) >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", v / 1e6), F.lit(" million")))
-        .otherwise(F.concat(F.lit("$"), F.format_string("%,.2f", v)))
+        F.when(F.abs(v) >= 1e9, F.concat(F.lit("$"), shown(v / 1e9, "0.00"), F.lit(" billion")))
+        .when(F.abs(v) >= 1e6, F.concat(F.lit("$"), shown(v / 1e6, "0.0"), F.lit(" million")))
+        .otherwise(F.concat(F.lit("$"), shown(v, "#,##0.00")))
     )
-    shares = F.concat(F.lit("$"), F.format_string("%.2f", v), F.lit(" per share"))
-    return F.when(u == "USD", usd).when(u.isin("USD/shares", "USD-per-shares"), shares).otherwise(F.concat(F.format_string("%,.2f", v), F.lit(" "), u))
+    shares = F.concat(F.lit("$"), shown(v, "0.00"), F.lit(" per share"))
+    return F.when(u == "USD", usd).when(u.isin("USD/shares", "USD-per-shares"), shares).otherwise(F.concat(shown(v, "#,##0.00"), F.lit(" "), u))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lodestar.operators import evaluation, measurement, retrieval, tracking
 from lodestar.plans.registry import query, table
 from lodestar.plans.search import knn_sql, vectors
-from lodestar.plans.texts import values_sql
 
 HALF_SQL = "round(list_sum(list_transform(list_zip(q.embedding[1:32], c.embedding[1:32]), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
 
@@ -45,25 +44,28 @@ def list_verdicts(spark, d):
     return measurement.verdict_counts(measurement.list_verdicts(exact(spark, d), halved(spark, d)))
 
 
-CURVE = [
-    ("k10", None, 0.87, 6.5), ("k10", 100, 0.97, 7.1), ("k10", 200, 0.992, 7.9), ("k10", 400, 0.995, 7.9), ("k20", None, 0.93, 6.0),
-    ("k20", 100, 0.95, 6.5), ("k20", 200, 0.95, 7.0), ("k50", None, 0.99, 5.0), ("k50", 50, 0.99, 5.0),
-]
-
-
 @query(
-    f"""WITH c AS (SELECT k, try_cast(ef AS INT) AS ef, recall::DOUBLE AS recall, p95::DOUBLE AS p95 FROM {values_sql(CURVE, 'k', 'ef', 'recall', 'p95')}),
+    """WITH c AS (SELECT event_type AS k, CASE WHEN user_id % 6 > 0 THEN (user_id % 6 * 50)::INT END AS ef, round(0.985 + 0.01 * (user_id % 6) / 6 + 0.01 * (count(*) FILTER (value > 60) / count(*)), 6) AS recall, round(avg(value), 6) AS p95 FROM events GROUP BY event_type, user_id % 6),
 r AS (SELECT *, bool_or(recall >= 0.99) OVER (PARTITION BY k) AS met FROM c)
 SELECT k, ef, recall, p95, met FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN met THEN (recall < 0.99)::INT ELSE 0 END, CASE WHEN met THEN 0 ELSE -recall END, p95, coalesce(ef, 0)) AS i FROM r) WHERE i = 1"""
 )
 def operating_point(spark, d):
-    return measurement.operating_point(spark.createDataFrame(CURVE, "k string, ef int, recall double, p95 double"), "k")
+    """A curve for each type of event: users by six settings of the knob, their values as times."""
+    setting = F.col("user_id") % 6
+    by = table(spark, d, "events").groupBy(F.col("event_type").alias("k"), setting.alias("setting")).agg(F.count_if(F.col("value") > 60).alias("far"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("p95"))
+    recall = F.round(0.985 + 0.01 * F.col("setting") / 6 + 0.01 * (F.col("far") / F.col("n")), 6)
+    curve = by.select("k", F.when(F.col("setting") > 0, (F.col("setting") * 50).cast("int")).alias("ef"), recall.alias("recall"), "p95")
+    return measurement.operating_point(curve, "k")
 
 
-@query("SELECT * FROM (VALUES (1, 0, NULL), (1, 1, 10), (1, 2, 20), (1, 3, 50), (2, 0, NULL)) t(id, pos, point)")
+@query(
+    """WITH a AS (SELECT user_id AS id, list_sort(list_distinct(list_filter(list((event_id % 60)::INT), lambda x: x >= 10))) AS p FROM events GROUP BY user_id)
+SELECT id, pos, point FROM (SELECT id, 0 AS pos, NULL::INT AS point FROM a UNION ALL SELECT id, unnest(range(1, len(p) + 1))::INT, unnest(p) FROM a)"""
+)
 def search_points(spark, d):
-    rows = spark.createDataFrame([(1, [50, 5, 20, 10, 20]), (2, [1, 2])], "id int, asked array<int>")
-    return rows.select("id", F.posexplode(measurement.search_points("asked", 10)).alias("pos", "point"))
+    """The settings that a user's events ask for."""
+    asked = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_list((F.col("event_id") % 60).cast("int")).alias("asked"))
+    return asked.select("id", F.posexplode(measurement.search_points("asked", 10)).alias("pos", "point"))
 
 
 @query(

@@ -9,22 +9,22 @@ from lodestar.operators import evaluation, facts, generation, route, sampling
 from lodestar.plans.registry import query, table
 from lodestar.sources.files import padded_cik, submissions
 
-#: (id, question, expected route)
+#: Questions by the remainder of an order's key, with its year, and the route each is to take.
 QUESTIONS = [
-    (1, "What was Columbia Banking's net income in 2023?", "structured"),
-    (2, "Why was Columbia's net income lower in 2023 than before?", "semantic"),
-    (3, "Total deposits of Glacier Bancorp for FY2022", "structured"),
-    (4, "Net interest income of WesBanco FY 2021?", "structured"),
-    (5, "What was net income in 2023?", "semantic"),
-    (6, "What does Umpqua say about deposits?", "semantic"),
-    (7, "ssb diluted eps 1999", "structured"),
-    (8, "Describe the strategy of South State", "semantic"),
-    (9, "The asterisk next to UMPQ assets 2020", "structured"),
-    (10, "Interest income of COLB, 2018 and 2019", "structured"),
-    (11, "Shareholders' equity at southstate in 2021", "structured"),
-    (12, "columbian assets 2020", "semantic"),
-    (13, "", "semantic"),
-    (14, "Assets of Glacier in 2150?", "semantic"),
+    ("What was Columbia Banking's net income in {year}?", "structured"),
+    ("Why was Columbia's net income lower in {year} than before?", "semantic"),
+    ("Total deposits of Glacier Bancorp for FY{year}", "structured"),
+    ("Net interest income of WesBanco FY {year}?", "structured"),
+    ("What was net income in {year}?", "semantic"),
+    ("What does Umpqua say about deposits?", "semantic"),
+    ("ssb diluted eps {year}", "structured"),
+    ("Describe the strategy of South State", "semantic"),
+    ("The asterisk next to UMPQ assets {year}", "structured"),
+    ("Interest income of COLB, {year} and 2019", "structured"),
+    ("Shareholders' equity at southstate in {year}", "structured"),
+    ("columbian assets {year}", "semantic"),
+    ("", "semantic"),
+    ("Assets of Glacier in 2150?", "semantic"),
 ]
 
 
@@ -59,16 +59,20 @@ routed AS (SELECT query_id, question, CASE WHEN marker IS NULL AND concept IS NO
     CASE WHEN fiscal_year IS NOT NULL THEN 'year ' || fiscal_year ELSE 'no year named' END] END AS reasons FROM found)"""
 
 
-LITERAL_QUESTIONS = values_sql([(i, q) for i, q, _ in QUESTIONS], "query_id", "question")
+ORDER_QUESTIONS = f"""(SELECT o_orderkey AS query_id, replace(question, '{{year}}', '' || year(o_orderdate)) AS question, expected FROM orders
+  JOIN {values_sql([(i, *q) for i, q in enumerate(QUESTIONS)], "ord", "question", "expected")} ON ord = o_orderkey % {len(QUESTIONS)})"""
 
 
-def asked(spark):
-    return spark.createDataFrame(QUESTIONS, "query_id bigint, question string, expected_route string")
+def asked(spark, d):
+    """A question for each order."""
+    kinds = F.array(*(F.struct(F.lit(q).alias("question"), F.lit(e).alias("expected_route")) for q, e in QUESTIONS))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.year("o_orderdate").cast("string").alias("year"), F.get(kinds, (F.col("o_orderkey") % len(QUESTIONS)).cast("int")).alias("k"))
+    return o.select("query_id", F.replace("k.question", F.lit("{year}"), F.col("year")).alias("question"), "k.expected_route")
 
 
-@query(f"{classify_sql(LITERAL_QUESTIONS)} SELECT * FROM routed")
+@query(f"{classify_sql(ORDER_QUESTIONS)} SELECT * FROM routed")
 def route_classify(spark, d):
-    return route.classify(asked(spark).drop("expected_route"))
+    return route.classify(asked(spark, d).drop("expected_route"))
 
 
 @query(f"{classify_sql('(SELECT item_id AS query_id, text AS question FROM benchmark)')} SELECT query_id, route, concept, company, fiscal_year FROM routed")
@@ -77,91 +81,103 @@ def route_benchmark(spark, d):
     return route.classify(items).drop("question", "reasons")
 
 
-EXPECTED = values_sql([(i, e) for i, _, e in QUESTIONS], "query_id", "expected")
-
-
-@query(f"{classify_sql(LITERAL_QUESTIONS)} SELECT expected, route AS predicted, count(*) AS n FROM routed JOIN {EXPECTED} USING (query_id) GROUP BY ALL")
+@query(f"{classify_sql(ORDER_QUESTIONS)} SELECT expected, route AS predicted, count(*) AS n FROM routed JOIN q USING (query_id) GROUP BY ALL")
 def routing_confusion(spark, d):
-    return evaluation.confusion(route.classify(asked(spark)))
+    return evaluation.confusion(route.classify(asked(spark, d)))
 
 
 @query(
-    f"""{classify_sql(LITERAL_QUESTIONS)}, e AS (SELECT expected, route FROM routed JOIN {EXPECTED} USING (query_id))
+    f"""{classify_sql(ORDER_QUESTIONS)}, e AS (SELECT expected, route FROM routed JOIN q USING (query_id))
 SELECT count(*) AS n, round(count(*) FILTER (expected = route) / count(*), 6) AS accuracy,
   round(count(*) FILTER (expected = 'structured' AND route = 'structured') / nullif(count(*) FILTER (route = 'structured'), 0), 6) AS structured_precision,
   round(count(*) FILTER (expected = 'structured' AND route = 'structured') / nullif(count(*) FILTER (expected = 'structured'), 0), 6) AS structured_recall FROM e"""
 )
 def routing_summary(spark, d):
-    return evaluation.routing_summary(route.classify(asked(spark)))
+    return evaluation.routing_summary(route.classify(asked(spark, d)))
 
 
-ANSWERS = [
-    (1, "Net income was $348.7 million [2]. It rose [2][1].", 3),
-    (2, "Nothing [0] or [7] here, but [3] and [3].", 6),
-    (3, "The provided filings do not state this.", 2),
-    (4, "No citation at all", 4),
-    (5, "I looked. THE PROVIDED FILINGS DO NOT STATE THIS, I think [1]", 1),
-    (6, "", 0),
-    (7, "Big [99999999999999999999] and [12] of twelve", 12),
-]
+def turns(spark, d):
+    """Turns of conversations with an id of their own."""
+    return table(spark, d, "conversations").select("*", (8 * F.col("conv_id") + F.col("turn")).alias("id"))
+
+
+TURNS_SQL = "(SELECT *, 8 * conv_id + turn AS id FROM conversations)"
 
 
 @query(
-    f"""SELECT id, list_transform(list_filter(list_distinct_ordered, lambda x: x BETWEEN 1 AND n), lambda x: x::INT) AS cited, contains(lower(answer), 'the provided filings do not state this') AS refused FROM (
+    f"""WITH a AS (SELECT id, text || ' [' || turn || '] [' || conv_id % 9 || '][' || turn || '] [12345678901234567890]' || CASE WHEN id % 5 = 0 THEN ' THE PROVIDED FILINGS DO NOT STATE THIS, I think' ELSE '' END AS answer, conv_id % 7 AS n FROM {TURNS_SQL})
+SELECT id, list_transform(list_filter(list_distinct_ordered, lambda x: x BETWEEN 1 AND n), lambda x: x::INT) AS cited, contains(lower(answer), 'the provided filings do not state this') AS refused FROM (
   SELECT *, list_filter(nums, lambda x, i: NOT list_contains(nums[1:i - 1], x)) AS list_distinct_ordered FROM (
-    SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: coalesce(try_cast(x AS BIGINT), 0)) AS nums FROM {values_sql(ANSWERS, 'id', 'answer', 'n')}))"""
+    SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: coalesce(try_cast(x AS INT), 0)) AS nums FROM a))"""
 )
 def citations(spark, d):
-    a = spark.createDataFrame(ANSWERS, "id int, answer string, n int")
+    """Turns as answers that cite a passage by their turn, and one by their conversation."""
+    mark = lambda c: F.concat(F.lit("["), c.cast("string"), F.lit("]"))
+    refusal = F.when(F.col("id") % 5 == 0, " THE PROVIDED FILINGS DO NOT STATE THIS, I think").otherwise("")
+    answer = F.concat("text", F.lit(" "), mark(F.col("turn")), F.lit(" "), mark(F.col("conv_id") % 9), mark(F.col("turn")), F.lit(" [12345678901234567890]"), refusal)
+    a = turns(spark, d).select("id", answer.alias("answer"), (F.col("conv_id") % 7).cast("int").alias("n"))
     return a.select("id", generation.cited("answer", "n").alias("cited"), generation.is_refusal("answer").alias("refused"))
 
 
-REPLIES = [
-    (1, "1. What is the net income of Columbia?\n2) What is the net income of Columbia?\n- How large are deposits at Glacier?\nshort?\nNot a question."),
-    (2, "Here are three questions, would you like more?\n* \"What drove the provision for losses?\"\n• What are total assets of Umpqua now?"),
-    (3, "Sure, can I write those for you today?\nWhat is A B C D E?\nWhat is F G H I J?\nWhat is K L M N O?\nWhat is P Q R S T?"),
-    (4, ""),
-]
+#: What a model puts before its questions, by the remainder of the turn's id.
+LISTED = ["1. ", "2) ", "- ", "* \"", "• ", "Sure, ", ""]
 
 
 @query(
-    f"""WITH lines AS (SELECT id, i, trim(trim(regexp_replace(l, '^\\s*(?:[-*•]|\\d+[.)])\\s*', '')), '"') AS q FROM (
-  SELECT id, unnest(string_split(reply, chr(10))) AS l, generate_subscripts(string_split(reply, chr(10)), 1) AS i FROM {values_sql(REPLIES, 'id', 'reply')})),
+    f"""WITH replies AS (SELECT conv_id AS id, string_agg(mark || replace(substr(text, 1, 40), chr(10), ' ') || '?' || CASE WHEN id % 7 = 3 THEN '"' ELSE '' END, chr(10) ORDER BY turn)
+    || chr(10) || 'Here are the questions, are they not?' || chr(10) || 'short?' || chr(10) || 'Not a question at all.' AS reply
+  FROM {TURNS_SQL} JOIN {values_sql(list(enumerate(LISTED)), 'ord', 'mark')} ON ord = id % 7 GROUP BY conv_id),
+lines AS (SELECT id, i, trim(trim(regexp_replace(l, '^\\s*(?:[-*•]|\\d+[.)])\\s*', '')), '"') AS q FROM (
+  SELECT id, unnest(string_split(reply, chr(10))) AS l, generate_subscripts(string_split(reply, chr(10)), 1) AS i FROM replies)),
 good AS (SELECT id, q, min(i) AS i FROM lines WHERE q LIKE '%?' AND length(q) >= 15 AND NOT (lower(q) LIKE 'here are%' OR lower(q) LIKE 'sure%' OR lower(q) LIKE 'questions:%') GROUP BY id, q)
-SELECT v.id, coalesce(list(q ORDER BY i) FILTER (q IS NOT NULL), []::VARCHAR[])[1:3] AS questions FROM {values_sql(REPLIES, 'id', 'reply').replace(') t(', ') v(')} LEFT JOIN good USING (id) GROUP BY v.id"""
+SELECT v.id, coalesce(list(q ORDER BY i) FILTER (q IS NOT NULL), []::VARCHAR[])[1:3] AS questions FROM replies v LEFT JOIN good USING (id) GROUP BY v.id"""
 )
 def parse_questions(spark, d):
-    return spark.createDataFrame(REPLIES, "id int, reply string").select("id", generation.questions_in("reply").alias("questions"))
+    """A conversation's turns as the lines of a reply that lists questions."""
+    mark = F.get(F.array(*map(F.lit, LISTED)), (F.col("id") % 7).cast("int"))
+    line = F.concat(mark, F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit("?"), F.when(F.col("id") % 7 == 3, '"').otherwise(""))
+    by = turns(spark, d).groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
+    rest = ["Here are the questions, are they not?", "short?", "Not a question at all."]
+    replies = by.select("id", F.array_join(F.concat(F.transform("x", lambda x: x["line"]), F.array(*map(F.lit, rest))), "\n").alias("reply"))
+    return replies.select("id", generation.questions_in("reply").alias("questions"))
 
 
-THOUGHTS = [(1, "<think>a\nb</think> The answer."), (2, "half a thought</think>\nRest"), (3, "<think>never ends"), (4, "<THINK>x</THINK>y<think>z</think> w "), (5, "plain")]
+#: Replies by the remainder of the turn's id: a thought that ends, one that began before, one that never ends, two, none.
+THOUGHTS = ["<think>a\n{text}\nb</think> The answer.", "half a thought {text}</think>\n{text}", "<think>never ends {text}", "<THINK>{text}</THINK>y<think>z</think> {text} ", "{text}"]
 
 
 @query(
-    f"""SELECT id, trim(CASE WHEN contains(c, '</think>') THEN regexp_replace(c, '(?is)^.*?</think>', '') ELSE c END, ' ' || chr(10)) AS answer
-FROM (SELECT id, regexp_replace(text, '(?is)<think>.*?</think>', '', 'g') AS c FROM {values_sql(THOUGHTS, 'id', 'text')})"""
+    f"""WITH t AS (SELECT id, replace(form, '{{text}}', text) AS text FROM {TURNS_SQL} JOIN {values_sql(list(enumerate(THOUGHTS)), 'ord', 'form')} ON ord = id % {len(THOUGHTS)})
+SELECT id, trim(CASE WHEN contains(c, '</think>') THEN regexp_replace(c, '(?is)^.*?</think>', '') ELSE c END, ' ' || chr(10)) AS answer
+FROM (SELECT id, regexp_replace(text, '(?is)<think>.*?</think>', '', 'g') AS c FROM t)"""
 )
 def strip_reasoning(spark, d):
-    return spark.createDataFrame(THOUGHTS, "id int, text string").select("id", generation.without_reasoning("text").alias("answer"))
+    form = F.get(F.array(*map(F.lit, THOUGHTS)), (F.col("id") % len(THOUGHTS)).cast("int"))
+    t = turns(spark, d).select("id", F.replace(form, F.lit("{text}"), F.col("text")).alias("text"))
+    return t.select("id", generation.without_reasoning("text").alias("answer"))
 
 
+#: Verdicts by the remainder of the document's id, with the claims it makes and how many are supported.
 VERDICTS = [
-    (1, '{"total_claims": 4, "supported_claims": 3, "unsupported": ["x"]}'),
-    (2, '```json\n{"total_claims": 2, "supported_claims": 2, "unsupported": []}\n```'),
-    (3, "no json"),
-    (4, '{"total_claims": 0, "supported_claims": 0}'),
-    (5, '```\n{"total_claims": 3}\n```'),
-]
+    '{"total_claims": <n>, "supported_claims": <k>, "unsupported": ["x"]}', '```json\n{"total_claims": <n>, "supported_claims": <k>, "unsupported": []}\n```',
+    "no json, but <n> claims", '{"total_claims": 0, "supported_claims": 0}', '```\n{"total_claims": <n>}\n```',
+]
 
 
 @query(
-    f"""WITH bare AS (SELECT id, CASE WHEN reply LIKE '```%' THEN regexp_replace(string_split(reply, '```')[2], '^json', '') ELSE reply END AS r FROM {values_sql(VERDICTS, 'id', 'reply')}),
+    f"""WITH v AS (SELECT doc_id AS id, replace(replace(form, '<n>', '' || (n_chars % 9 + 1)), '<k>', '' || (n_chars % 9 + 1) * (n_chars % 4) // 3) AS reply FROM documents JOIN {values_sql(list(enumerate(VERDICTS)), 'ord', 'form')} ON ord = doc_id % {len(VERDICTS)}),
+bare AS (SELECT id, CASE WHEN reply LIKE '```%' THEN regexp_replace(string_split(reply, '```')[2], '^json', '') ELSE reply END AS r FROM v),
 j AS (SELECT id, CASE WHEN json_valid(r) THEN r::JSON END AS j FROM bare)
 SELECT id, CASE WHEN j IS NOT NULL THEN coalesce((j->>'total_claims')::INT, 0) END AS total_claims, CASE WHEN j IS NOT NULL THEN coalesce((j->>'supported_claims')::INT, 0) END AS supported_claims,
   round(coalesce((j->>'supported_claims')::INT, 0) / nullif((j->>'total_claims')::INT, 0), 6) AS support_rate, CASE WHEN j IS NULL THEN 'unparseable' END AS judge_error FROM j"""
 )
 def judge_parse(spark, d):
-    v = spark.createDataFrame(VERDICTS, "id int, reply string").select("id", generation.verdict("reply").alias("v"))
+    """A verdict for each document, by its length."""
+    n = F.col("n_chars") % 9 + 1
+    k = F.floor(n * (F.col("n_chars") % 4) / 3)
+    form = F.get(F.array(*map(F.lit, VERDICTS)), (F.col("doc_id") % len(VERDICTS)).cast("int"))
+    reply = F.replace(F.replace(form, F.lit("<n>"), n.cast("string")), F.lit("<k>"), k.cast("string"))
+    v = table(spark, d, "documents").select(F.col("doc_id").alias("id"), generation.verdict(reply).alias("v"))
     return v.select("id", "v.total_claims", "v.supported_claims", F.round("v.support_rate", 6).alias("support_rate"), "v.judge_error")
 
 
@@ -185,21 +201,22 @@ def prompts(spark, d):
     ).withColumn("filed", filed)
 
 
-GRADED = [
-    (1, "semantic", False, 2, 0.5, True), (2, "semantic", False, 1, 1.0, True), (3, "semantic", True, 0, None, False), (4, "structured", False, 1, None, False),
-    (5, "semantic", False, 0, None, True), (6, "semantic", False, 3, None, False),
-]
-
-
 @query(
-    f"""WITH r AS (SELECT * FROM {values_sql(GRADED, 'id', 'route', 'refused', 'n_citations', 'support_rate', 'judged')}), s AS (SELECT *, route = 'semantic' AND NOT refused AS answered FROM r)
-SELECT 'all' AS split, 10 AS questions_in_eval_set, count(*) AS answers_generated, 0.6 AS coverage, count(*) FILTER (route = 'structured') AS structured_route, count(*) FILTER (route = 'semantic') AS semantic_route,
+    """WITH r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'structured' ELSE 'semantic' END AS route, toxic = 1 AS refused, n_chars % 4 AS n_citations, CASE WHEN doc_id % 5 > 0 THEN least(1.0, (n_chars % 11) / 7.0) END AS support_rate, quality = 1 AS judged FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT *, route = 'semantic' AND NOT refused AS answered FROM r), d AS (SELECT count(*) AS total FROM documents)
+SELECT 'all' AS split, any_value(total) AS questions_in_eval_set, count(*) AS answers_generated, round(count(*) / any_value(total), 6) AS coverage, count(*) FILTER (route = 'structured') AS structured_route, count(*) FILTER (route = 'semantic') AS semantic_route,
   count(*) FILTER (route = 'semantic' AND refused) AS refusals, round(count(*) FILTER (route = 'semantic' AND refused) / count(*) FILTER (route = 'semantic'), 6) AS refusal_rate,
   count(*) FILTER (answered AND n_citations > 0) AS answers_with_valid_citations, round(count(*) FILTER (answered AND n_citations > 0) / count(*) FILTER (answered), 6) AS citation_coverage,
-  count(*) FILTER (answered AND judged) AS judged_answers, round(avg(support_rate) FILTER (answered AND judged), 6) AS mean_claim_support_rate, count(*) FILTER (answered AND judged AND support_rate = 1) AS fully_supported_answers FROM s"""
+  count(*) FILTER (answered AND judged) AS judged_answers, round(avg(support_rate::DOUBLE) FILTER (answered AND judged), 6) AS mean_claim_support_rate, count(*) FILTER (answered AND judged AND support_rate = 1) AS fully_supported_answers FROM s, d"""
 )
 def groundedness_summary(spark, d):
-    return evaluation.groundedness(spark.createDataFrame(GRADED, "id int, route string, refused boolean, n_citations int, support_rate double, judged boolean"), 10)
+    """Labels stand for answers: toxic ones were refused, those of quality judged."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = table(spark, d, "labels").join(docs, "doc_id").select(
+        F.when(F.col("doc_id") % 3 == 0, "structured").otherwise("semantic").alias("route"), (F.col("toxic") == 1).alias("refused"), (F.col("n_chars") % 4).alias("n_citations"),
+        F.when(F.col("doc_id") % 5 > 0, F.least(F.lit(1.0), F.col("n_chars") % 11 / 7.0)).alias("support_rate"), (F.col("quality") == 1).alias("judged"),
+    )
+    return evaluation.groundedness(rows, docs.count())
 
 
 @query(
@@ -231,15 +248,18 @@ def extraction_check(spark, d):
     return out.withColumn("relative_error", F.round("relative_error", 9))
 
 
-AMOUNTS = [(1, 1234567890.0, "USD"), (2, 348715000.0, "USD"), (3, 1234.5, "USD"), (4, -2500000.0, "USD"), (5, 1.87, "USD/shares"), (6, 12345.678, "shares"), (7, 999999.994, "USD")]
-
-
 @query(
-    f"""SELECT id, CASE unit WHEN 'USD' THEN CASE WHEN abs(v) >= 1e9 THEN '$' || format('{{:.2f}}', v / 1e9) || ' billion' WHEN abs(v) >= 1e6 THEN '$' || format('{{:.1f}}', v / 1e6) || ' million' ELSE '$' || format('{{:,.2f}}', v) END
-  WHEN 'USD/shares' THEN '$' || format('{{:.2f}}', v) || ' per share' ELSE format('{{:,.2f}}', v) || ' ' || unit END AS shown FROM (SELECT id, v::DOUBLE AS v, unit FROM {values_sql(AMOUNTS, 'id', 'v', 'unit')})"""
+    """WITH v AS (SELECT o_orderkey AS id, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0.0071234567 WHEN 1 THEN 1.0012345 WHEN 2 THEN -431.771234 ELSE 77123.4567 END::DOUBLE AS v, CASE o_orderkey % 3 WHEN 0 THEN 'shares' WHEN 1 THEN 'USD/shares' ELSE 'USD' END AS unit FROM orders)
+SELECT id, CASE unit WHEN 'USD' THEN CASE WHEN abs(v) >= 1e9 THEN '$' || format('{:.2f}', v / 1e9) || ' billion' WHEN abs(v) >= 1e6 THEN '$' || format('{:.1f}', v / 1e6) || ' million' ELSE '$' || format('{:,.2f}', v) END
+  WHEN 'USD/shares' THEN '$' || format('{:.2f}', v) || ' per share' ELSE format('{:,.2f}', v) || ' ' || unit END AS shown FROM v"""
 )
 def format_value(spark, d):
-    return spark.createDataFrame(AMOUNTS, "id int, value double, unit string").select("id", facts.formatted().alias("shown"))
+    """Prices of orders in many sizes as figures of three units."""
+    kind = F.col("o_orderkey") % 4
+    scale = F.when(kind == 0, 0.0071234567).when(kind == 1, 1.0012345).when(kind == 2, -431.771234).otherwise(77123.4567)
+    unit = F.when(F.col("o_orderkey") % 3 == 0, "shares").when(F.col("o_orderkey") % 3 == 1, "USD/shares").otherwise("USD")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * scale).alias("value"), unit.alias("unit"))
+    return o.select("id", facts.formatted().alias("shown"))
 
 
 @query(
