@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: What stands before a query, not before a passage, and how far a norm may be from 1.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 NORM_ERROR = 1e-3
+#: Devices in the order in which they are taken.
+FASTEST = ("mps", "cuda")
 #: Texts that the encoder gets at once.
 BATCH = 128
 
@@ -28,6 +30,11 @@ def resolve(preferred: str | None, known: Iterable[str], variable: str, default:
     return name
 
 
+def device(preferred: str | None, available: Callable[[str], bool]) -> str:
+    """The device asked for, else the first of FASTEST that there is, else the CPU; available says of a name whether there is one."""
+    return preferred or next((d for d in FASTEST if available(d)), "cpu")
+
+
 def require_unit_norm(vectors: np.ndarray, what: str) -> None:
     """An error if a vector is not of length 1, as cosine ranks would be ranks of length then."""
     if len(vectors):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.joins import small
+from lodestar.functions.storage import small
 from lodestar.functions.text import question_key, regexp_count, text_key
 
 #: Patterns of specific detail, bounds of lengths, shares and thresholds.
@@ -59,22 +59,28 @@ def labelled_ids(entries: DataFrame) -> DataFrame:
 def contaminated(questions: DataFrame, held_out: DataFrame, key: str = "query_id", text: str = "text", threshold: float = CONTAMINATION) -> DataFrame:
     """questions (key, text) with contaminated: a Jaccard of threshold or more with a held-out text, or no words.
 
-    Word sets meet over an inverted index, but only on the words of their prefixes: two sets of that
-    overlap share one of the first n - ceil(threshold n) + 1 words in any one order, here the
-    longest first, as these are the rarest. Each row sorts its own words, and only prefixes are dealt out.
+    Two sets of that overlap share one of the first n - ceil(threshold n) + 1 words of each in any one order: here words that no
+    held-out text has come first, then those in the fewest. The unknown ones take up places and are never dealt out, so most
+    rows have none left to look for; the others meet held-out sets of a like size only.
     """
-    a = questions.select(key, question_key(text).alias("own"))
-    b = held_out.select(question_key(text).alias("other")).where(F.size("other") > 0).distinct()
-
-    def prefix(df: DataFrame, words: str) -> DataFrame:
-        ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-        n = (F.size(words) - F.ceil(F.lit(threshold) * F.size(words) - 1e-9) + 1).cast("int")
-        return df.where(F.size(words) > 0).select("*", F.explode(F.slice(ordered, F.lit(1), n)["w"]).alias("w"))
-
-    pairs = prefix(a, "own").join(prefix(b, "other"), "w").select(key, "own", "other").distinct()
-    both = F.size(F.array_intersect("own", "other"))
-    near = pairs.where(both / (F.size("own") + F.size("other") - both) >= threshold).select(key).distinct()
-    flagged = a.where(F.size("own") == 0).select(key).union(near).distinct().withColumn("_f", F.lit(True))
+    held = small(held_out.select(question_key(text).alias("other")).where(F.size("other") > 0).distinct())
+    ranks = small(held.select(F.explode("other").alias("w")).groupBy("w").agg(F.count("*").alias("texts")))
+    most = lambda n: (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+
+    def known(df: DataFrame, words: str, *by: str) -> DataFrame:
+        """(by, n, known): the size of a set, and its words that are known in their order."""
+        each = df.select(*by, F.size(words).alias("n"), F.explode(words).alias("w")).join(ranks, "w")
+        return each.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("texts", "w")))["w"].alias("known"))
+
+    own = questions.select(key, question_key(text).alias("own")).withColumn("set", F.xxhash64("own"))
+    a = known(own, "own", key, "set").withColumn("left", most(F.col("n")) - (F.col("n") - F.size("known"))).where("left > 0")
+    a = a.select(key, F.col("n").alias("a_n"), F.col("known").alias("a_known"), F.explode(F.slice("known", F.lit(1), F.col("left"))).alias("w"))
+    b = known(held.withColumn("id", F.xxhash64("other")), "other", "id")
+    b = b.select(F.col("n").alias("b_n"), F.col("known").alias("b_known"), F.explode(F.slice("known", F.lit(1), most(F.col("n")))).alias("w"))
+    sizes = (F.col("b_n") >= threshold * F.col("a_n") - 1e-9) & (F.col("a_n") >= threshold * F.col("b_n") - 1e-9)
+    both = F.size(F.array_intersect("a_known", "b_known"))
+    pairs = a.join(small(b), "w").where(sizes & (both / (F.col("a_n") + F.col("b_n") - both) >= threshold))
+    flagged = own.where(F.size("own") == 0).select(key).union(pairs.select(key)).distinct().withColumn("_f", F.lit(True))
     return questions.join(flagged, key, "left").withColumn("contaminated", F.coalesce("_f", F.lit(False))).drop("_f")
 
 

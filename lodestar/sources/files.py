@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar import schemas
-from lodestar.functions.joins import small
-from lodestar.functions.storage import cut, exists
+from lodestar.functions.storage import cut, exists, hadoop_path, size_bytes, small
 from lodestar.operators.facts import extract_facts
 from lodestar.sources.log import Log
 
@@ -161,5 +161,28 @@ def by_ids(index: DataFrame, ids: DataFrame, *fields: str) -> DataFrame:
     return index.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", *fields)
 
 
+def settled_size(spark: SparkSession, path: str, wait: float = 1.0, attempts: int = 30, sleep=time.sleep) -> dict[str, int]:
+    """Bytes of an index's data files and of all that its folder holds, once two readings agree; an error if they never do."""
+    last = None
+    for _ in range(attempts):
+        now = {"data": data_bytes(spark, path), "store": size_bytes(spark, path)}
+        if now == last:
+            return now
+        last = now
+        sleep(wait)
+    raise TimeoutError(f"the size of {path} still changes")
+
+
+def data_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below path that readers see: neither hidden ones nor marks and logs."""
+    fs, p = hadoop_path(spark, path)
+    files, total = fs.listFiles(p, True), 0
+    while files.hasNext():
+        file = files.next()
+        inner = file.getPath().toString()[len(fs.makeQualified(p).toString()) :]
+        total += 0 if any(part[:1] in (".", "_") and "=" not in part for part in inner.split("/")) else file.getLen()
+    return total
+
+
 def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False) + "\n")
