@@ -16,7 +16,7 @@ from .shared import cut
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
 #: Features that a block holds before it is closed; a longer text has a block of its own.
-BLOCK = 500_000
+BLOCK = 50_000
 CSR = "block long, ids array<long>, n_words array<int>, starts array<int>, buckets array<int>, counts array<int>"
 #: Bytes of a word, A-Z as a-z; all others part words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
