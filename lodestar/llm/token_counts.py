@@ -132,7 +132,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
         wanted = wanted.unionByName(whole.join(small(repeated), same, "left_semi").select("content", "text").dropDuplicates(["content"]))
     if not first.isEmpty():
         wanted.mapInArrow(encoded(path), STORED).write.mode("append").parquet(f"{cache}/tokenizer={version}")
+    counts = stored_counts(docs, cache, version).join(marked.select("content").distinct(), "content", "left_semi")
+    counts = cut(counts, "token-counts")  # joined without an aggregate below, so that Spark can split the rows of a hot content
     drop(docs.sparkSession, first, marked)
 
-    out = keys.join(stored_counts(docs, cache, version), "content", "left")
+    out = keys.join(counts, "content", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
