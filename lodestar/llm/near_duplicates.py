@@ -23,6 +23,8 @@ FINE_SAMPLES, FINE_WORDS = 2048, 128
 CHUNK_WORDS = 400_000
 CACHE_WORDS = 300_000
 MISS = 1e-6
+#: Rows of a class from which its component is sent to where they are; there is one such class in so many rows at most.
+MANY = 1_000
 
 
 def banding(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> tuple[int, int]:
@@ -237,7 +239,7 @@ def near_duplicates(
     classes = cut(
         feats.where("cls is not null and id is not null")
         .groupBy("cls")
-        .agg(F.min("id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "shingle-classes",
     )
     spread = classes.select(F.explode("bands").alias("key"), F.col("cls").alias("id"))
@@ -284,11 +286,14 @@ def near_duplicates(
         return fine.join(plain.drop("doc"), "id").join(own, "id", "left").fillna(0, ["shared"])
 
     labels = linked(members, verify, attributes, closer, screen, alive)
-    of_class = classes.select("cls", "doc").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
+    of_class = classes.select("cls", "doc", "copies").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "cls"))
     least = of_class.groupBy("label").agg(F.min("doc").alias("least"))
-    of_class = of_class.join(least, "label").select("cls", "least")
-    out = feats.select("id", "n_shingles", "cls", "text_key").join(of_class, "cls", "left")
+    of_class = cut(of_class.join(least, "label").select("cls", "copies", "least"), "class-components")
+    # rows without a class stay where they are, and those of classes of many copies meet their component there
+    rows, many = feats.select("id", "n_shingles", "cls", "text_key"), small(of_class.where(F.col("copies") >= MANY).select("cls", "least"))
+    few = rows.where("cls is not null").join(many, "cls", "left_anti").join(of_class.where(F.col("copies") < MANY).select("cls", "least"), "cls", "left")
+    out = few.unionByName(rows.join(many, "cls")).unionByName(rows.where("cls is null").withColumn("least", F.lit(None).cast("long")))
     component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col),
