@@ -22,8 +22,8 @@ BOILERPLATE = (
 NAV_SHARE = 0.25
 #: A line is noise from this share of symbols among its characters, and shouting from this share of words with !!.
 SYMBOL_SHARE, SHOUT_SHARE = 0.10, 0.5
-#: Lines of fewer words need no closing punctuation. Lines of more words than LONG_LINE are prose: neither the lack of
-#: closing punctuation nor a phrase of boilerplate removes them. A document must keep KEPT_SHARE of its words.
+#: Lines of fewer words need no closing punctuation. Lines of more words than LONG_LINE, a parameter of clean_lines, are prose: neither
+#: the lack of closing punctuation nor a phrase of boilerplate removes them. A document must keep KEPT_SHARE of its words.
 SHORT_LINE, LONG_LINE, KEPT_SHARE = 4, 40, 0.5
 MIN_WORDS, MOST_REPEATED = 10, 20
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_kept", "clean_text")
@@ -71,8 +71,10 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) < width, 0).otherwise(let(let(hashed, windows), count)).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: noise, shouting, navigation, boilerplate, no closing punctuation."""
+def line_fails(line: Column, long_line: int | None = LONG_LINE) -> Column:
+    """Whether a line with a word breaks a rule: noise, shouting, navigation, boilerplate, no closing punctuation. Lines of more
+    than long_line words, where there is such a number, break none of the last two.
+    """
 
     def rules(words: Column) -> Column:
         n = F.size(words)
@@ -80,15 +82,18 @@ def line_fails(line: Column) -> Column:
         shouts = F.size(F.filter(words, lambda w: F.endswith(w, F.lit("!!"))))
         ends = line.rlike(r"[.!?…。！？:;\"'”’»)\]][\x20\x09-\x0D]*\z")
         phrase = line.rlike(BOILERPLATE) | ((n >= SHORT_LINE) & ~ends)
-        return (separators >= NAV_SHARE * n) | (shouts >= SHOUT_SHARE * n) | ((n <= LONG_LINE) & phrase)
+        return (separators >= NAV_SHARE * n) | (shouts >= SHOUT_SHARE * n) | (phrase if long_line is None else (n <= long_line) & phrase)
 
     symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
     return (symbols >= SYMBOL_SHARE * F.length(line)) | let(words_of(line), rules)
 
 
-def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, long_line: int | None = LONG_LINE) -> DataFrame:
     """One row per row of docs: its counts, the cleaned text and the verdict.
 
+    A line of more than long_line words is a paragraph: it goes for noise, shouting or navigation, but neither for lack of
+    closing punctuation nor for a phrase that a licence or menu has too. With None all rules hold for all lines.
+
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed describe the whole
     text (null: empty). Lines without a word are left as they are; lines that fail a rule are
     removed. n_lines_removed counts those, n_words_kept the words left, clean_text the text left.
@@ -100,7 +105,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [F.col(c) for c in docs.columns if c.lower() not in RESULTS or c == id_col] if keep_columns else [F.col(id_col)]
     work = docs.select(F.struct(*others).alias("own"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    left = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x))
+    left = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x, long_line))
 
     def left_over(x: Column) -> Column:
         return F.struct(F.array_join(x, "\n").alias("text"), F.size(F.filter(x, lambda y: y.rlike(WORD))).alias("n"))
