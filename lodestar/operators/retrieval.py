@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from lodestar.functions.text import words
 #: The constants of reciprocal rank fusion, of the hybrid search and of BM25.
 RRF_K, LEXICAL_WEIGHT, DENSE_WEIGHT, CANDIDATES = 60, 1.0, 0.25, 50
 K1, B = 1.2, 0.75
-#: Bytes of query vectors that are sent to all workers at once; more are searched in blocks.
+#: Bytes of query vectors that are sent to all workers at most, and what a cell holds where there are more.
 QUERY_BYTES = 64_000_000
+CELL_ROWS, CELL_QUERIES = 50_000, 5_000
 #: Hits that a task holds beside the best k of each query before it drops the others.
 BATCH_ROWS = 100_000
 
@@ -80,31 +82,46 @@ def nearest_in_batches(held, k: int, exclude_self: bool, digits: int):
     return run
 
 
+def nearest_in_cells(k: int, exclude_self: bool, digits: int):
+    """cogroup function: vectors and queries of a cell -> the k best of each query there."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if vectors.num_rows and queries.num_rows:
+            asked = np.array(queries.column("embedding").to_pylist(), np.float64)
+            held = SimpleNamespace(value=(queries.column("id").to_numpy(), asked))
+            for batch in nearest_in_batches(held, k, exclude_self, digits)(iter(vectors.select(["id", "embedding"]).to_batches())):
+                for column, values in zip(out, batch.columns, strict=True):
+                    column.append(values.to_numpy())
+        return pa.table([np.concatenate(c) for c in out], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str, object] | None = None, exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """Exact k-NN by cosine of unit vectors: queries and corpus are (id long, embedding).
 
-    Filters apply before the search, so k results meet them. Query vectors are sent out in blocks of
-    a checked size, every block meets every row once, and each task hands on k rows a query. Vectors of
-    another width, or with null elements, are an error; scores are rounded first, so that equal vectors tie.
+    Filters apply before the search, so k results meet them. Queries of QUERY_BYTES at most are sent to where the vectors are read;
+    more are dealt with the vectors into cells of bounded size, in which each query meets each vector once. A task or cell hands
+    on k rows a query. Vectors of another width, or with null elements, are an error; scores are rounded first, so that equal vectors tie.
     """
     spark = corpus.sparkSession
     rows = corpus.where(matches(filters)).select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null")
-    out, block, size = None, [], 0
-
-    def search(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
-        return rows.mapInArrow(nearest_in_batches(held, k, exclude_self, digits), "query_id long, chunk_id long, score double")
-
-    for r in queries.select("id", "embedding").where("embedding is not null").toLocalIterator():
-        block.append((r["id"], r["embedding"]))
-        size += 8 * len(r["embedding"])
-        if size >= QUERY_BYTES:
-            found = search(block)
-            out, block, size = (found if out is None else out.unionByName(found)), [], 0
-    if block or out is None:
-        found = search(block) if block else spark.createDataFrame([], "query_id long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return top(out, k)
+    asked = queries.select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null")
+    schema = "query_id long, chunk_id long, score double"
+    n, size = asked.agg(F.count("*"), F.sum(8 * F.size("embedding"))).first()
+    if not n:
+        return top(spark.createDataFrame([], schema), k)
+    if size <= QUERY_BYTES:
+        block = asked.collect()
+        held = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)))
+        return top(rows.mapInArrow(nearest_in_batches(held, k, exclude_self, digits), schema), k)
+    parts, sides = (-(-c // most) or 1 for c, most in ((rows.count(), CELL_ROWS), (n, CELL_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part, side = (F.pmod(F.xxhash64("id"), F.lit(c)).cast("int") for c in (parts, sides))
+    dealt = rows.select(part.alias("part"), every(sides).alias("side"), "id", "embedding").groupBy("part", "side")
+    asks = asked.select(every(parts).alias("part"), side.alias("side"), "id", "embedding").groupBy("part", "side")
+    return top(dealt.cogroup(asks).applyInArrow(nearest_in_cells(k, exclude_self, digits), schema), k)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, filters: Mapping[str, object] | None = None, analyse: Callable[[Column], Column] = words) -> DataFrame:

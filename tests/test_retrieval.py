@@ -91,3 +91,20 @@ def test_stemmer():
     from lodestar.operators.stemming import tokens
 
     assert tokens("The bank's relational ponies hopping, agreed & sized") == ["bank", "relat", "poni", "hop", "agre", "size"]
+
+
+@pytest.mark.parametrize("cells", [(7, 3), (50_000, 5_000)])
+def test_many_queries_are_dealt_with_the_vectors(spark, monkeypatch, cells):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.standard_normal((60, 4)), 1)  # with ties
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
+    asked = rows.where("id % 3 = 0").union(spark.createDataFrame([(99, None)], rows.schema))
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    want = [listed(retrieval.nearest(asked, rows, 5, exclude_self=x)) for x in (False, True)]
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 10)
+    monkeypatch.setattr(retrieval, "CELL_ROWS", cells[0])
+    monkeypatch.setattr(retrieval, "CELL_QUERIES", cells[1])
+    assert [listed(retrieval.nearest(asked, rows, 5, exclude_self=x)) for x in (False, True)] == want and len(want[0]) == 100
+    assert retrieval.nearest(asked.limit(0), rows, 5).count() == 0
