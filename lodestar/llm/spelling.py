@@ -1,20 +1,25 @@
-"""Spelling variants: words one edit apart, found by bands of the parities of their letters, and the form each comes from.
+"""Spelling variants: words one edit apart, found by equal bands of the parities of their letters, and the form each comes from.
 
 Column expressions, aggregates and joins only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop, text_or_empty
+from .shared import cut, drop, small, text_or_empty
 
 #: Of 97 occurrences one loses a letter, by hash; words have LEAST_LETTERS at least and occur LEAST_TIMES.
 ONE_IN, LEAST_LETTERS, LEAST_TIMES = 97, 5, 3
-#: Letters share BITS parities; consecutive ones are in different bands.
+#: Letters share BITS parities; consecutive letters are in different bands.
 BITS, BANDS = 63, 3
 BAND = [sum(1 << i for i in range(BITS) if i % BANDS == b) for b in range(BANDS)]
+#: Keys of two words of one length, and of a word and one of a letter more: (band, whether the end of the word is meant). Two flipped
+#: bits leave one of three bands as it is, one flipped bit one of two.
+SAME, LONGER = ([(b, end) for b in range(n) for end in (False, True)] for n in (BANDS, BANDS - 1))
 #: Words of a band's bucket that one task compares with those on the other side; larger buckets are dealt out.
 CELL = 2_000
 #: A form has so many times the occurrences of a word at least, so that forms of forms come to an end.
@@ -39,37 +44,48 @@ def parities(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda mask, c: F.when(c == "", mask).otherwise(mask.bitwiseXOR(bit(c))))
 
 
+def half(word: Column, size: Column, shorter: Column, end: bool) -> Column:
+    """The first half of a word, or the rest, as long as in the shorter of two: one edit leaves one of these as it is."""
+    first = F.floor(shorter / 2).cast("int")
+    return F.substring(word, size - shorter + first + 1, shorter) if end else F.substring(word, F.lit(1), first)
+
+
+def keys(pairs: list[tuple[int, bool]], shorter: Column, start: int) -> list[Column]:
+    """Hashes that two words one edit apart share one of: a band of their bits, the length of the shorter, and a half of the letters."""
+    word, size = F.col("word"), F.col("size")
+    return [F.xxhash64(F.lit(start + i), shorter, F.col("mask").bitwiseAND(F.lit(BAND[b]).cast("long")), half(word, size, shorter, end)) for i, (b, end) in enumerate(pairs)]
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): of words (word, n) each pair one inserted, deleted or replaced letter apart, both ways.
 
-    Two flipped bits leave one of three bands as it is. A bucket holds words of one length with an equal band; words look for
-    partners there and in that of the next length. Buckets over CELL are dealt into cells, so none is one task's. A pair
-    is taken in the first band that it shares, if two bits differ at most and the words themselves are one edit apart.
+    A replaced letter flips two bits at most and one letter more flips one, so some band is equal. Words are joined on a band,
+    their length and the half of the word that the edit isn't in, which keeps buckets small where many words have the same few
+    letters. Buckets over CELL are dealt into cells, so none is one task's. Of a pair two bits differ at most, and the words
+    themselves are one edit apart; it is taken for the first key that they share.
     """
     masks = cut(words.select("word", "n", F.length("word").alias("size"), parities(F.col("word")).alias("mask")), "letter-parities")
-    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col("mask").bitwiseAND(F.lit(m).cast("long")).alias("value")) for b, m in enumerate(BAND)))).alias("at")
-    keyed = masks.select("*", bands).select("word", "n", "size", "mask", "at.*")
-    sizes = keyed.groupBy("band", "value", "size").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    keyed = keyed.join(sizes, ["band", "value", "size"])
-    cell = F.pmod(F.xxhash64("word"), F.col("cells")).cast("int")
-    every = keyed.select("band", "value", F.col("size").alias("at"), cell.alias("cell"), *(F.col(c).alias(f"r_{c}") for c in ("word", "n", "size", "mask")))
-    # each word meets all cells of its own length and of the next
-    asks = masks.select("*", bands, F.explode(F.array("size", F.col("size") + 1)).alias("to")).select("word", "n", "size", "mask", "at.*", "to")
-    asks = asks.join(sizes.withColumnRenamed("size", "to"), ["band", "value", "to"])
-    asks = asks.select("band", "value", F.col("to").alias("at"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *(F.col(c).alias(f"l_{c}") for c in ("word", "n", "size", "mask")))
-    flipped = F.col("l_mask").bitwiseXOR(F.col("r_mask"))
-    first = F.lit(True)
-    for b in range(1, BANDS):
-        earlier = F.lit(False)
-        for m in BAND[:b]:
-            earlier = earlier | (flipped.bitwiseAND(F.lit(m).cast("long")) == 0)
-        first = first & ~((asks["band"] == b) & earlier)
-    same = [asks[c] == every[c] for c in ("band", "value", "at", "cell")]
-    close = (F.bit_count(flipped) <= 2) & ((F.col("l_size") < F.col("r_size")) | (F.col("l_word") < F.col("r_word"))) & first
+    size, tags = F.col("size"), [*SAME, *LONGER]
+    spread = lambda longer: F.posexplode(F.array(*keys(SAME, size, 0), *keys(LONGER, size - longer, len(SAME)))).alias("tag", "key")
+    held, asks = (masks.select("word", "n", "size", "mask", spread(longer)) for longer in (1, 0))
+    large = held.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > CELL)
+    large = small(large.select("key", F.ceil(F.col("of") / CELL).cast("int").alias("cells")))
+    cells = F.coalesce("cells", F.lit(1))
+    held = held.join(large, "key", "left").select("key", F.pmod(F.xxhash64("word"), cells).cast("int").alias("cell"), *(F.col(c).alias(f"r_{c}") for c in ("word", "n", "size", "mask")))
+    asks = asks.join(large, "key", "left").select("key", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"), "tag", *(F.col(c).alias(f"l_{c}") for c in ("word", "n", "size", "mask")))
+    flipped, longer = F.col("l_mask").bitwiseXOR(F.col("r_mask")), F.col("l_size") < F.col("r_size")
+
+    def shared(i: int) -> Column:
+        b, end = tags[i]
+        ends = (half(F.col(f"{p}_word"), F.col(f"{p}_size"), F.col("l_size"), end) for p in "lr")
+        return (longer == F.lit(i >= len(SAME))) & (flipped.bitwiseAND(F.lit(BAND[b]).cast("long")) == 0) & (next(ends) == next(ends))
+
+    first = reduce(lambda rest, i: F.when(shared(i), i).otherwise(rest), reversed(range(len(tags))), F.lit(-1))
+    close = F.when(longer, F.bit_count(flipped) <= 1).otherwise((F.bit_count(flipped) <= 2) & (F.col("l_word") < F.col("r_word")))
     one = F.call_function("levenshtein", F.col("l_word"), F.col("r_word"), F.lit(1)) == 1
-    pairs = asks.join(every, same[0] & same[1] & same[2] & same[3] & close & one)
+    pairs = asks.join(held, (asks["key"] == held["key"]) & (asks["cell"] == held["cell"]) & close & one & (first == F.col("tag")))
     pairs = cut(pairs.select("l_word", "l_n", "r_word", "r_n"), "near-words")
-    drop(words.sparkSession, masks)
+    drop(words.sparkSession, masks, large)
     names = ["word", "n", "near", "near_n"]
     return pairs.toDF(*names).union(pairs.select("r_word", "r_n", "l_word", "l_n").toDF(*names))
 
