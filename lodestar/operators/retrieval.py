@@ -146,13 +146,16 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, *fields: str, analyse: Ca
     first = F.coalesce(F.col("i"), F.lit(0)) == 0
     each = each.where(first | F.col("asked")).select("chunk_id", *fields, "dl", first.alias("first"), F.when(F.col("asked"), F.col("term")).alias("term"))
     each = cut(each, "occurrences")
-    stats = each.where("first").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = each.where("term is not null").groupBy("term", "chunk_id", *fields, "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impact = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", *fields, (idf * weight).alias("impact"))  # one row of statistics
-    return impact.join(asked, "term").groupBy("query_id", "chunk_id", *fields).agg(F.round(F.sum("impact"), 6).alias("score"))
+    n, avgdl = each.where("first").agg(F.count("*"), F.avg("dl")).first()
+    found = each.where("term is not null")
+    df = found.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = small(asked.join(df, "term").select("query_id", "term", idf.alias("idf")))
+    # dealt by document once: its occurrences are counted and its scores added up where they lie
+    tf = found.repartition("chunk_id").groupBy("chunk_id", *fields, "dl", "term").agg(F.count("*").alias("tf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    impact = tf.join(weights, "term").select("query_id", "chunk_id", *fields, (F.col("idf") * weight).alias("impact"))
+    return impact.groupBy("query_id", "chunk_id", *fields).agg(F.round(F.sum("impact"), 6).alias("score"))
 
 
 def fuse(ranked: DataFrame, weights: Mapping[str, float], k: int | None = None, rank_constant: int = RRF_K) -> DataFrame:
