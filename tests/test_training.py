@@ -64,7 +64,7 @@ def test_list_verdicts(spark, one, two, verdict):
 @pytest.mark.parametrize("n, share, want", [(5, 0.5, 2), (101, 0.95, 96), (1, 0.95, 1), (4, 0.5, 2)])
 def test_nearest_rank(spark, n, share, want):
     df = spark.createDataFrame([(float(i),) for i in range(1, n + 1)], "v double")
-    assert df.agg(measurement.nearest_rank("v", share).alias("p")).first()["p"] == want
+    assert measurement.percentiles(df, (share,), value="v").first()["value"] == want
 
 
 def test_parity(spark):
