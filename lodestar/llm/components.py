@@ -105,6 +105,7 @@ def linked(
     most_rounds: int = 8,
     cheap: int = CHEAP,
     most_in_task: int = MOST_IN_TASK,
+    decided: tuple[DataFrame, Callable[[], Column]] | None = None,
 ) -> DataFrame:
     """Components of all verified links between members of a bucket, without emitting a bucket's pairs.
 
@@ -118,6 +119,8 @@ def linked(
     hubs: the first pivots are the members that meet most others in all their buckets. Where copies were each edited by
     themselves, that is the text they come from, which links with all of them, while they may not link with each other.
     likely: pairs (a, b) -> those that meet join_filter, for pairs of which that isn't known; without it verify sees to that.
+    decided: more attributes (id, ...) and a condition on them that says what verify does. The last pairs, which are close but
+    mostly no links, are then decided where they meet, and only links are dealt out.
     screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
     pairs left are few against the members, all are verified, so the result equals that of
@@ -172,11 +175,11 @@ def linked(
         links = found if links is None else links.union(found)
         labels = components(links, most_in_task)
         drop(members.sparkSession)
-    out, every = dealt(at, counts, attributes)
+    out, every = dealt(at, counts, attributes if decided is None else attributes.join(decided[0], "id"))
     once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
-    pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter())
+    pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter() & (F.lit(True) if decided is None else decided[1]()))
     pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-    found = cut(verify(pairs), "links")
+    found = cut(pairs if decided else verify(pairs), "links")
     return labels if found.isEmpty() else components(links.union(found), most_in_task)
 
 
