@@ -120,7 +120,8 @@ def linked(
     themselves, that is the text they come from, which links with all of them, while they may not link with each other.
     likely: pairs (a, b) -> those that meet join_filter, for pairs of which that isn't known; without it verify sees to that.
     decided: more attributes (id, ...) and a condition on them that says what verify does. The last pairs, which are close but
-    mostly no links, are then decided where they meet, and only links are dealt out.
+    mostly no links, are then decided where they meet, and only links are dealt out: of those with a bucket's largest component
+    one for each member outside it, as more of them say the same.
     screen (nodes (id, label)) gives attributes that tell more, for join_filter too; alive is a condition on n, shared
     and n_lo, the least n of the bucket, that members with a link to another label meet. Once the
     pairs left are few against the members, all are verified, so the result equals that of
@@ -176,10 +177,30 @@ def linked(
         labels = components(links, most_in_task)
         drop(members.sparkSession)
     out, every = dealt(at, counts, attributes if decided is None else attributes.join(decided[0], "id"))
+    if decided is not None:
+        return decided_links(out, every, links, labels, join_filter, decided[1], most_in_task)
     once = (F.col("l_label") != F.col("r_label")) & (F.col("r_top") | (F.col("l_id") < F.col("r_id")))
-    pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter() & (F.lit(True) if decided is None else decided[1]()))
+    pairs = out.join(every, (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell")) & once & join_filter())
     pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-    found = cut(pairs if decided else verify(pairs), "links")
+    found = cut(verify(pairs), "links")
+    return labels if found.isEmpty() else components(links.union(found), most_in_task)
+
+
+def decided_links(out: DataFrame, every: DataFrame, links: DataFrame, labels: DataFrame, join_filter: Callable[[], Column], linked_: Callable[[], Column], most_in_task: int) -> DataFrame:
+    """Components once each member outside a bucket's largest component has met all of the bucket: first that component, where one link
+    is enough, then the others outside, of which those that the first have joined to it need not meet each other.
+    """
+    meet = (F.col("l_key") == F.col("r_key")) & (F.col("l_cell") == F.col("r_cell"))
+    first = out.join(every.where("r_top"), meet & (F.col("l_label") != F.col("r_label")) & join_filter() & linked_(), "left_semi")
+    first = cut(first.select(F.least("l_id", "l_la").alias("a"), F.greatest("l_id", "l_la").alias("b")).distinct(), "links")
+    if not first.isEmpty():
+        links = links.union(first)
+        labels = components(links, most_in_task)
+    now = {p: labels.select(F.col("id").alias(f"{p}_id"), F.col("label").alias(f"{p}_now")) for p in "lr"}
+    out = out.join(now["l"], "l_id", "left").withColumn("l_now", F.coalesce("l_now", "l_id"))
+    others = every.where("not r_top").join(now["r"], "r_id", "left").withColumn("r_now", F.coalesce("r_now", "r_id"))
+    pairs = out.join(others, meet & (F.col("l_now") != F.col("r_now")) & (F.col("l_id") < F.col("r_id")) & join_filter() & linked_())
+    found = cut(pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct(), "links")
     return labels if found.isEmpty() else components(links.union(found), most_in_task)
 
 
@@ -194,7 +215,7 @@ def dealt(at: DataFrame, counts: DataFrame, attributes: DataFrame) -> tuple[Data
     row, column = F.pmod(F.xxhash64("id", F.lit("row")), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id", F.lit("column")), F.col("columns")).cast("int")
     facts = {p: attributes.select(*(F.col(c).alias(f"{p}_{c}") for c in attributes.columns)) for p in "lr"}
     cells = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.col("rows") * c + row)
-    out = at.where("label <> la").select(F.col("key").alias("l_key"), F.col("label").alias("l_label"), F.col("id").alias("l_id"), F.explode(cells).alias("l_cell"))
+    out = at.where("label <> la").select(F.col("key").alias("l_key"), F.col("label").alias("l_label"), F.col("la").alias("l_la"), F.col("id").alias("l_id"), F.explode(cells).alias("l_cell"))
     cells = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.col("rows") * column + r)
     every = at.select(F.col("key").alias("r_key"), F.col("label").alias("r_label"), F.col("id").alias("r_id"), (F.col("label") == F.col("la")).alias("r_top"), F.explode(cells).alias("r_cell"))
     return out.join(facts["l"], "l_id"), every.join(facts["r"], "r_id")
