@@ -108,3 +108,58 @@ def test_many_queries_are_dealt_with_the_vectors(spark, monkeypatch, cells):
     monkeypatch.setattr(retrieval, "CELL_QUERIES", cells[1])
     assert [listed(retrieval.nearest(asked, rows, 5, exclude_self=x)) for x in (False, True)] == want and len(want[0]) == 100
     assert retrieval.nearest(asked.limit(0), rows, 5).count() == 0
+
+
+@pytest.fixture
+def unit_vectors():
+    import numpy as np
+
+    v = np.random.default_rng(3).standard_normal((3_000, 8)).astype(np.float32)
+    return np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 2)  # with ties
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_scores_of_many_queries_are_worked_out_in_blocks(unit_vectors, exclude_self):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    v = unit_vectors.astype(np.float64)
+    ids = np.arange(len(v))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(unit_vectors))], ["id", "embedding"])
+    held = type("Held", (), {"value": (ids, v)})
+    tracemalloc.start()
+    (out,) = retrieval.nearest_in_batches(held, 5, exclude_self, 6)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(v) ** 2 * 0.8  # less than all scores at once
+    scores = np.round(v @ v.T, 6)
+    if exclude_self:
+        np.fill_diagonal(scores, -np.inf)
+    found = {}
+    for q, c, s in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        found.setdefault(q, []).append((-s, c))
+    assert all(sorted(found[q]) == sorted(zip(-scores[q], ids, strict=True))[:5] for q in range(0, len(v), 50)) and len(found) == len(v)
+
+
+@pytest.mark.parametrize("most", [10, 64_000_000])
+def test_lsh_equals_all_pairs_that_share_a_code_and_shuffles_none(spark, monkeypatch, unit_vectors, most):
+    import numpy as np
+
+    from lodestar.operators import lsh
+
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", most)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit_vectors[:400])], "id long, embedding array<float>")
+    found = lsh.nearest_approximately(rows.where("id % 20 = 0"), rows, 4, dims=8, tables=3, bits=3)
+    v = unit_vectors[:400].astype(np.float64)
+    codes = lsh.sign_codes(8, 3, 3)(v)
+    want = []
+    for q in range(0, 400, 20):
+        near = np.flatnonzero((codes == codes[q]).any(axis=1))
+        assert len(near) < 400
+        best = sorted((-round(float(v[q] @ v[c]), 6), int(c)) for c in near)[:4]
+        want += [(q, c, -s, i) for i, (s, c) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in found.collect()) == sorted((q, c, pytest.approx(s, abs=1e-6), i) for q, c, s, i in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
