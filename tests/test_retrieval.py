@@ -163,3 +163,16 @@ def test_lsh_equals_all_pairs_that_share_a_code_and_shuffles_none(spark, monkeyp
     assert sorted((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in found.collect()) == sorted((q, c, pytest.approx(s, abs=1e-6), i) for q, c, s, i in want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_tasks_of_bm25_hold_a_bounded_number_of_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 600)
+    corpus = spark.range(1000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    asked = spark.createDataFrame([(1, "w"), (2, "w 7"), (3, "nothing")], "query_id long, text string")
+    scored = retrieval.bm25_scores(asked, corpus)
+    tasks = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2000 and max(tasks) <= 600
+    best = retrieval.bm25(asked, corpus, 1).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in best} == {(1, 0), (2, 7)}
