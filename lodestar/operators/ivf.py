@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from lodestar.functions.storage import cut, exists
+from lodestar.functions.vectors import matrix
 from lodestar.operators.measurement import ann_recall
 from lodestar.operators.retrieval import matches, top
 
@@ -25,18 +26,12 @@ from lodestar.operators.retrieval import matches, top
 SAMPLE, ROUNDS, SLICES = 100_000, 10, 8
 #: Vectors, and queries, that one task of a search holds of a cell; larger cells are dealt out.
 PART_ROWS, PART_QUERIES = 50_000, 2_000
+#: Pairs of a query and a cell that a task ranks at a time.
+PROBES = 100_000
 #: 64-bit words of a code, and codes read for each vector scored.
 WORDS, REACH = 4, 8
 
 
-def matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    widths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(widths) and ((widths != (dims or widths[0])).any() or np.isnan(flat).any()):
-        raise ValueError(f"vectors must have {dims or widths[0]} numbers")
-    return flat.reshape(len(widths), -1)
-
-
 def nearest_cell(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(vectors @ centroids.T, axis=1)
 
@@ -151,11 +146,14 @@ def probes(queries: DataFrame, index: Cells, ef: int, filters: Mapping[str, obje
         for batch in batches:
             if not batch.num_rows or not len(used):
                 continue
-            order = used[np.argsort(-(matrix(batch.column(1), centroids.shape[1]) @ centroids[used].T), axis=1, kind="stable")]
-            before = np.cumsum(n[order], axis=1) - n[order]
-            query, place = np.nonzero(before < ef)
-            cell = order[query, place]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(query)), batch.column(1).take(pa.array(query)), pa.array(cell, pa.int32()), pa.array(n[cell])], ["query_id", "embedding", "cell", "n"])
+            # a query may probe every cell, so queries are taken by as many as have PROBES pairs with cells
+            step = max(1, PROBES // len(used))
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                order = used[np.argsort(-(matrix(part.column(1), centroids.shape[1]) @ centroids[used].T), axis=1, kind="stable")]
+                before = np.cumsum(n[order], axis=1) - n[order]
+                query, place = np.nonzero(before < ef)
+                cell = order[query, place]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(query)), part.column(1).take(pa.array(query)), pa.array(cell, pa.int32()), pa.array(n[cell])], ["query_id", "embedding", "cell", "n"])
 
     asked = queries.where("embedding is not null").select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
     return asked.mapInArrow(choose, "query_id long, embedding array<float>, cell int, n long")

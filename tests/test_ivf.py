@@ -117,3 +117,31 @@ def test_a_point_of_the_curve_is_measured(clustered):
     asked = df.where("id % 100 = 0")
     point = measure_point(lambda q: ivf.nearest_in_cells(q, index, 5, 100), asked, retrieval.nearest(asked, df, 5), 5, repeats=2)
     assert point["deterministic"] and point["recall"] >= 0.9 and point["n"] == 12
+
+
+def test_probes_of_all_cells_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(120)], "id long, embedding array<float>")
+    index = ivf.build(rows, new_path(spark, "cells"), cells=6)
+    want = sorted((r["query_id"], r["cell"]) for r in ivf.probes(rows, index, 1000).collect())
+    monkeypatch.setattr(ivf, "PROBES", 12)
+    seen = []
+    plain = ivf.matrix
+    monkeypatch.setattr(ivf, "matrix", lambda column, dims=None: (seen.append(len(column)), plain(column, dims))[1])
+
+    class Asked:
+        """The batches that probes hands to Spark, run here."""
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            import pyarrow as pa
+
+            table = rows.toArrow().select(["id", "embedding"])
+            return [b for b in run(iter(table.combine_chunks().to_batches())) if isinstance(b, pa.RecordBatch)]
+
+    out = ivf.probes(Asked(), index, 1000)
+    assert sorted(zip((q for b in out for q in b.column(0).to_pylist()), (c for b in out for c in b.column(2).to_pylist()), strict=True)) == want
+    assert max(b.num_rows for b in out) <= 12 and max(seen) <= 12
