@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestar.llm import line_dedup
 from lodestar.llm.line_dedup import block_keys, dedup_lines, half_keys, simhashes
 from lodestar.llm.quality import clean_lines
 
@@ -109,6 +110,30 @@ def test_edited_lines_share_a_key(spark, least, most, share, recall):
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(rows))) >= recall * len(rows)
 
 
+def test_simhashes_within_three_bits_share_a_block(spark):
+    rng, sims = random.Random(4), []
+    for i in range(200):
+        sim = rng.getrandbits(64)
+        near = sim ^ sum(1 << b for b in rng.sample(range(64), i % 4))
+        sims += [(2 * i + k, x - (x >> 63 << 64)) for k, x in enumerate((sim, near))]
+    keys = {i: set() for i in range(len(sims))}
+    for r in line_dedup.bit_keys(spark.createDataFrame(sims, "id long, sim long")).collect():
+        keys[r["id"]].add(r["key"])
+    assert all(len(k) == 20 for k in keys.values())
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200)) and not any(keys[2 * i] & keys[2 * i + 2] for i in range(199))
+
+
+def test_long_lines_link_by_bits_of_their_simhashes(docs, monkeypatch):
+    """Where no block of words is shared. Copies of the lines don't change it."""
+    rng = random.Random(12)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    near = [*line[:300], "other", *line[301:]]
+    far = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    monkeypatch.setattr(line_dedup, "block_keys", lambda lines: block_keys(lines).withColumn("key", F.lit(None).cast("long")))
+    out = {r["doc_id"]: r["n_lines_removed"] for r in dedup_lines(docs([(i, " ".join(x)) for i, x in enumerate((line, near, far, near, line, line))])).collect()}
+    assert out == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
 def test_lines_near_and_far(docs):
     rng = random.Random(9)
     line = [f"w{rng.randrange(10**6)}" for _ in range(30)]
