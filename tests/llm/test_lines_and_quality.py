@@ -205,3 +205,33 @@ def test_documents_that_lose_too_much_go(docs, odd, empty):
     rows = clean_lines(odd, keep_columns=True).collect()
     assert len(rows) == odd.count() and rows[0]["label"] == 2
     assert clean_lines(empty).collect() == []
+
+
+@pytest.mark.parametrize("cheap", [0, 1000])
+def test_pairs_of_a_bucket_that_are_far_apart_are_not_dealt_out(spark, cheap):
+    """A bucket of many members, of which few are close: each round hands on the close pairs alone, and the last one the facts of close members alone."""
+    from lodestar.llm import components
+
+    members = spark.createDataFrame([(7, i) for i in range(300)] + [(8, 0), (8, 1)], "key long, id long")
+    at = spark.createDataFrame([(i, 10 * i) for i in range(298)] + [(298, 1001), (299, 1002)], "id long, place long")
+    wide = spark.createDataFrame([(i, "x" * 9) for i in range(300)], "id long, wide string")
+    handed, dealt_out = [], []
+
+    def verify(pairs):
+        handed.append(pairs.count())
+        return pairs
+
+    def close():
+        return F.abs(F.col("l_place") - F.col("r_place")) <= 1
+
+    def decided(out, every, *more):
+        dealt_out.append((out.count(), every.count()))
+        return whole(out, every, *more)
+
+    whole = components.decided_links
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(components, "decided_links", decided)
+        labels = components.linked(members, verify, at, close, carried=True, stars=1, hubs=True, pivots=16, most_rounds=3, cheap=cheap, most_in_task=0, decided=(wide, lambda: F.col("l_wide") == F.col("r_wide")))
+    out = {r["id"]: r["label"] for r in labels.collect()}
+    assert out == {100: 100, 298: 100, 299: 100} and max(handed) <= 2
+    assert all(n <= 3 and m <= 3 for n, m in dealt_out) and dealt_out
