@@ -235,3 +235,57 @@ def test_pairs_of_a_bucket_that_are_far_apart_are_not_dealt_out(spark, cheap):
     out = {r["id"]: r["label"] for r in labels.collect()}
     assert out == {100: 100, 298: 100, 299: 100} and max(handed) <= 2
     assert all(n <= 3 and m <= 3 for n, m in dealt_out) and dealt_out
+
+
+def test_keys_are_dealt_out_once(spark):
+    rng = random.Random(21)
+    rows = [(rng.randrange(300), rng.randrange(40)) for _ in range(400)] + [(1000, 7)] * 5 + [(None, 1), (None, 2)]
+    keyed = spark.createDataFrame(rows, "key long, id long")
+    ids = {}
+    for key, i in rows:
+        ids.setdefault(key, set()).add(i)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = line_dedup.shared(keyed)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2  # one is what is reused
+        assert sorted((r["key"], r["id"]) for r in found.collect()) == sorted((k, i) for k, x in ids.items() if k is not None and len(x) > 1 for i in x)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_buckets_of_two_are_done_with_after_a_round(spark, monkeypatch):
+    from lodestar.llm import components
+
+    members = spark.createDataFrame([(k, i) for k in range(50) for i in (2 * k, 2 * k + 1)] + [(99, i) for i in (0, 200, 201)], "key long, id long")
+    at = spark.createDataFrame([(i, 10 * (i // 2)) for i in range(40)] + [(i, 10 * i) for i in range(40, 100)] + [(200, 9990), (201, 9990)], "id long, place long")
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df, name, cut=components.cut: written.append((name, df.count())) or cut(df, name))
+
+    def close():
+        return F.abs(F.col("l_place") - F.col("r_place")) <= 1
+
+    labels = components.linked(members, lambda pairs: pairs, at, close, carried=True, stars=1, hubs=True, pivots=16, most_rounds=3, most_in_task=0, decided=(at.select("id"), close))
+    assert {r["id"]: r["label"] for r in labels.collect()} == {i: i // 2 * 2 for i in range(40)} | {200: 200, 201: 200}
+    assert [n for name, n in written if name == "unresolved"] == [2]  # of 103 members
+
+
+def test_spellings_are_made_for_close_lines_alone(docs, monkeypatch):
+    """Of the lines that share a block, most are far apart."""
+    from lodestar.llm import components
+
+    rng = random.Random(22)
+    block = "alpha beta incomprehensibilities gamma delta"
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) + f" {block} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(20)]
+    written = Counter()
+
+    def counting(df, name, cut=line_dedup.cut):
+        written[name] += df.count()
+        return cut(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", counting)
+    monkeypatch.setattr(components, "cut", counting)
+    out = {r["doc_id"]: r["n_lines_removed"] for r in dedup_lines(docs([*enumerate(lines), (20, lines[3] + " more")])).collect()}
+    assert out == {i: int(i == 20) for i in range(21)}
+    assert written["line-texts"] == 21 and 2 <= written["line-facts"] + written["told"] <= 8
