@@ -17,6 +17,8 @@ from .shared import cut
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
 #: Features that a block holds before it is closed; a longer text has a block of its own.
 BLOCK = 50_000
+#: Blocks of a row group of the stored matrix. A task decodes a row group at most at once, however large its file is.
+GROUP_BLOCKS = 16
 CSR = "block long, ids array<long>, n_words array<int>, starts array<int>, buckets array<int>, counts array<int>"
 #: Bytes of a word, A-Z as a-z; all others part words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -74,6 +76,11 @@ def csr_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(to_blocks(buckets, longest), CSR)
 
 
+def stored(blocks: DataFrame) -> DataFrame:
+    """The matrix, written to the shared folder once, in row groups of bounded size."""
+    return cut(blocks, "csr-blocks", **{"parquet.block.row.count.limit": GROUP_BLOCKS})
+
+
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): each task sends on one row for each bucket at most."""
 
@@ -149,7 +156,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     null ids too, each count and have a row, ranked next to each other. Other columns of docs aren't looked at, and may have
     any name. Without documents the result is empty; with an empty target all buckets are smoothed alike.
     """
-    blocks = cut(csr_blocks(docs, id_col, text_col, buckets, longest), "csr-blocks")
+    blocks = stored(csr_blocks(docs, id_col, text_col, buckets, longest))
     wanted = csr_blocks(target.select(F.lit(0).alias("id"), target_text), "id", target_text, buckets, longest)
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets), buckets)
     scored = cut(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "weights")

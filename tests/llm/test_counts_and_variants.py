@@ -8,12 +8,14 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import assert_same
 
+import lodestar.llm.resample as resampling
 from lodestar.llm import queries, spelling
 from lodestar.llm.resample import column_sums, csr_blocks, resample
 from lodestar.llm.shared import new_path
@@ -155,6 +157,16 @@ def test_blocks_hold_the_matrix(spark, docs):
     assert {r["bucket"]: r["n"] for r in sums.collect()} == {code("a"): 2, code("b"): 1, code("a b"): 1}
 
 
+def test_the_stored_matrix_is_read_in_parts_of_bounded_size(spark, docs, monkeypatch):
+    written, plain = [], resampling.cut
+    monkeypatch.setattr(resampling, "cut", lambda *a, **k: written.append(plain(*a, **k)) or written[-1])
+    rows = [(i, f"w{i} " * 26_000) for i in range(40)]  # a block each
+    found = resample(docs(rows).coalesce(1), spark.createDataFrame([(1, "w1")], "item_id long, text string"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    sizes = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) == 40 and max(sizes) <= 16 and found.where("n_features = 51999").count() == 40
+
+
 def test_resampling_of_no_rows_and_of_no_target(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert resample(empty, bench).count() == 0
